@@ -11,8 +11,8 @@ How it is spread. Texts become blocks: a list of the block's words and the token
 counted from the block lists and get dense numbers, and each block is told its words' numbers and counts. Blocks then
 ask for their distinct bigrams, dealt by history (frequent histories by bigram, so that no task gets a whole one); each
 bucket of the bigram table adds up its counts, stores its part of the table, answers every block, and adds
-up per history what the back-off weights need. Blocks evaluate their tokens with the answers: bigram, else back-off
-weight and unigram. Nothing grows on the driver but sums; every table is stored in the shared folder, by bucket.
+up per history what the back-off weights need. Blocks evaluate their tokens with the answers: bigram, else
+unigram, and the back-off weights of the histories in between join in last. Nothing grows on the driver but sums; every table is stored in the shared folder, by bucket.
 
 Defined cases. Null text is empty: only the end token is scored. Null ids train or are held out like the empty text
 id. Repeated rows count and are scored each. Without training texts every token has probability one. A class of
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,16 @@ _BLOCK = "block long, ids array<long>, held array<boolean>, lens array<int>, wor
 _PART = "block long, kind int, bucket int, a binary, b binary, ids array<long>, held array<boolean>, lens array<int>"
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """An integer array as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def _unpack(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 class _Places(dict):
     """Numbers words as they come."""
 
@@ -65,7 +76,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             tokens = np.concatenate(streams)
             train = np.repeat(~np.array(held), lens)
             counts = np.bincount(tokens[train], minlength=len(places))
-            row = {"block": [secrets.randbits(62)], "ids": [ids], "held": [held], "lens": [lens], "words": [list(places)], "counts": [counts.tolist()], "stream": [tokens.tobytes()]}
+            row = {"block": [secrets.randbits(62)], "ids": [ids], "held": [held], "lens": [lens], "words": [list(places)], "counts": [counts.tolist()], "stream": [_pack(tokens)]}
             types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row.values(), types, strict=True)], names=list(row))
 
@@ -133,18 +144,14 @@ def unigrams(made: DataFrame) -> DataFrame:
     return materialise(numbered.select("word", "c", "number", "bucket"), "lm-unigrams", ["bucket"])
 
 
-def _gather(rows: DataFrame, columns: list[tuple[str, type, float]], kind: int) -> DataFrame:
-    """Per block, the values of (block, pos, ...) rows as arrays by position, with a default for absent positions."""
-    a, b = columns
+def _gather(rows: DataFrame) -> DataFrame:
+    """Per block, the numbers and counts of (block, pos, number, c) rows as arrays by position."""
 
     def run(table: pa.Table) -> pa.Table:
         pos = table["pos"].to_numpy()
-        out = []
-        for name, kind_of, default in (a, b):
-            x = np.full(pos.max() + 1, default, dtype=kind_of)
-            x[pos] = table[name].to_numpy()
-            out.append(x.tobytes())
-        return _part(int(table["block"][0].as_py()), kind, 0, *out)
+        number, count = np.empty(len(pos), dtype=np.int32), np.empty(len(pos), dtype=np.int64)
+        number[pos], count[pos] = table["number"].to_numpy(), table["c"].to_numpy()
+        return _part(int(table["block"][0].as_py()), 1, 0, _pack(number), _pack(count))
 
     return rows.groupBy("block").applyInArrow(run, _PART)
 
@@ -160,7 +167,7 @@ class Block:
 
     def __init__(self, lens: np.ndarray, held: np.ndarray, stream: bytes, number: np.ndarray, count: np.ndarray) -> None:
         self.lens, self.number, self.count = lens, number, count
-        self.w = np.frombuffer(stream, dtype=np.int32)
+        self.w = _unpack(stream, np.int32)
         self.starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
         self.v = np.concatenate([[-1], self.w[:-1]])
         self.v[self.starts] = -1
@@ -189,7 +196,7 @@ def _of_parts(t: pa.Table) -> tuple[dict, Block]:
     rows = t.to_pylist()
     whole = next(r for r in rows if r["kind"] == 0)
     told = next(r for r in rows if r["kind"] == 1)
-    number, count = np.frombuffer(told["a"], dtype=np.int64), np.frombuffer(told["b"], dtype=np.int64)
+    number, count = _unpack(told["a"], np.int32).astype(np.int64), _unpack(told["b"], np.int64)
     return {"rows": rows, **whole}, Block(np.array(whole["lens"]), np.array(whole["held"]), whole["a"], number, count)
 
 
@@ -205,8 +212,8 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_tokens: int =
 
     # each block is told the numbers and counts of its words
     asked = made.select("block", F.posexplode("words").alias("pos", "word"))
-    told = asked.join(uni.select("word", "number", "c"), "word", "left").select("block", "pos", F.coalesce("number", F.lit(-1)).alias("number"), F.coalesce("c", F.lit(0)).alias("c"))
-    told = materialise(_gather(told, [("number", np.int64, -1), ("c", np.int64, 0)], 1), "lm-told")
+    told = asked.join(uni.select("word", "number", "c").hint("shuffle_hash"), "word", "left").select("block", "pos", F.coalesce("number", F.lit(-1)).alias("number"), F.coalesce("c", F.lit(0)).alias("c"))
+    told = materialise(_gather(told), "lm-told")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("held", "array<boolean>"), ("lens", "array<int>"))]
     whole = made.select("block", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.col("stream").alias("a"), F.lit(None).cast("binary").alias("b"), "ids", "held", "lens")
     told = told.select("block", "kind", "bucket", "a", "b", *none)
@@ -222,8 +229,8 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_tokens: int =
             at = order[cut[k] : cut[k + 1]]
             out["bucket"].append(k)
             out["block"].append(whole["block"])
-            for c, x in (("v", block.pair_v), ("w", block.pair_w), ("n", block.n), ("c", block.pair_c)):
-                out[c].append(x[at].astype(np.uint32).tobytes())
+            for c, x, wide in (("v", block.pair_v, np.uint32), ("w", block.pair_w, np.uint32), ("n", block.n, np.uint32), ("c", block.pair_c, np.int64)):
+                out[c].append(_pack(x[at].astype(wide)))
         types = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
         return pa.table([pa.array(x, ty) for x, ty in zip(out.values(), types, strict=True)], names=list(out))
 
@@ -231,8 +238,9 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_tokens: int =
 
     def add_up(t: pa.Table) -> pa.Table:
         """A bucket: its part of the bigram table (kind 0), answers by block (1) and sums by history (2)."""
-        v, w, n, c = (np.frombuffer(b"".join(t[x].to_pylist()), dtype=np.uint32) for x in ("v", "w", "n", "c"))
-        size = [len(x) // 4 for x in t["v"].to_pylist()]
+        lists = {x: [_unpack(raw, np.int64 if x == "c" else np.uint32) for raw in t[x].to_pylist()] for x in ("v", "w", "n", "c")}
+        size = [len(x) for x in lists["v"]]
+        v, w, n, c = (np.concatenate(lists.pop(x)) for x in ("v", "w", "n", "c"))
         keys, first, of = np.unique((v.astype(np.uint64) << np.uint64(32)) | w, return_index=True, return_inverse=True)
         total = np.bincount(of, weights=n, minlength=len(keys)).astype(np.int64)
         answers = np.split(total[of].astype(np.uint32), np.cumsum(size)[:-1])
@@ -244,11 +252,11 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_tokens: int =
             for r in range(1, TURING + 1):
                 sums[:, r - 1] = np.add.reduceat((gram_n == r).astype(float), starts)
             sums[:, TURING] = np.add.reduceat(np.where(gram_n > TURING, gram_n, 0).astype(float), starts)
-            sums[:, TURING + 1] = np.add.reduceat(model(c[first][seen].astype(np.int64)), starts)
+            sums[:, TURING + 1] = np.add.reduceat(model(c[first][seen]), starts)
         bucket = int(t["bucket"][0].as_py())
         tally = np.bincount(np.minimum(gram_n, TURING + 2), minlength=TURING + 3)[1 : TURING + 2]
-        out = [(0, bucket, None, gram_v.tobytes(), gram_w.tobytes(), gram_n.astype(np.uint32).tobytes(), tally.tolist()), (2, bucket, None, gram_v[starts].tobytes(), sums.tobytes(), None, None)]
-        out += [(1, bucket, b, x.tobytes(), None, None, None) for b, x in zip(t["block"].to_pylist(), answers, strict=True)]
+        out = [(0, bucket, None, _pack(gram_v), _pack(gram_w), _pack(gram_n.astype(np.uint32)), tally.tolist()), (2, bucket, None, _pack(gram_v[starts]), _pack(sums), None, None)]
+        out += [(1, bucket, b, _pack(x), None, None, None) for b, x in zip(t["block"].to_pylist(), answers, strict=True)]
         types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         return pa.table([pa.array(x, ty) for x, ty in zip(zip(*out, strict=True), types, strict=True)], names=["kind", "bucket", "block", "a", "b", "c", "tally"])
 
@@ -260,8 +268,8 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_tokens: int =
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch["a"], batch["b"], strict=True):
-                v = np.frombuffer(a.as_py(), dtype=np.uint32).astype(np.int64)
-                sums = np.frombuffer(b.as_py(), dtype=np.float64).reshape(-1, TURING + 2)
+                v = _unpack(a.as_py(), np.uint32).astype(np.int64)
+                sums = _unpack(b.as_py(), np.float64).reshape(-1, TURING + 2)
                 r = np.arange(1, TURING + 1)
                 spent = (sums[:, :TURING] * (d[r] * r)).sum(axis=1) + sums[:, TURING]
                 count = (sums[:, :TURING] * r).sum(axis=1) + sums[:, TURING]
@@ -272,46 +280,56 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_tokens: int =
     # a history that gave up nothing gives up half a count
     base = F.when(F.col("spent") > F.col("count") - 1e-6, F.col("count") + 0.5).otherwise(F.col("count"))
     weight = F.log10((1 - F.col("spent") / base) / F.greatest(1 - F.col("known"), F.lit(model.unknown)))
-    history = materialise(history.select(F.col("v").alias("number"), F.log10(base).alias("base"), weight.alias("weight")), "lm-histories")
+    given = F.log10(base) - F.log10("count")
+    history = materialise(history.select(F.col("v").alias("number"), F.log10(base).alias("base"), weight.alias("weight"), given.alias("given")), "lm-histories")
     start = history.where(F.col("number") == BEGIN).first()
     start = (start["base"], start["weight"]) if start else (0.0, 0.0)
+    history = history.select("number", "weight", "given")
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b, a in zip(batch["block"].to_pylist(), batch["a"], strict=True):
-                number = np.frombuffer(a.as_py(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), b)), pa.array(np.arange(len(number), dtype=np.int32)), pa.array(number)], names=["block", "pos", "number"])
-
-    wanted = told.select("block", "a").mapInArrow(spell, "block long, pos int, number long")
-    # unknown words are not looked up; position 0, the end token, is no history but keeps every block's array present
-    weights = wanted.where("number >= 0 or pos = 0").join(history, "number", "left").select("block", "pos", F.coalesce("base", F.lit(0.0)).alias("base"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    weights = _gather(weights, [("base", np.float64, 0.0), ("weight", np.float64, 0.0)], 3).select("block", "kind", "bucket", "a", "b", *none)
     answers = grams.where("kind = 1").select("block", F.lit(2).alias("kind"), "bucket", "a", F.lit(None).cast("binary").alias("b"), *none)
 
     def evaluate(t: pa.Table) -> pa.Table:
+        """A block's texts (kind 0), scored but for what depends on histories, and those by text (kind 1)."""
         whole, block = _of_parts(t)
         order, cut = block.dealt(buckets, hot)
         c_pair = np.zeros(len(block.keys), dtype=np.int64)
-        base, weight = np.zeros(len(block.number)), np.zeros(len(block.number))
         for row in whole["rows"]:
             if row["kind"] == 2:
-                c_pair[order[cut[row["bucket"]] : cut[row["bucket"] + 1]]] = np.frombuffer(row["a"], dtype=np.uint32)
-            elif row["kind"] == 3:
-                for x, raw in ((base, row["a"]), (weight, row["b"])):
-                    x[: len(raw) // 8] = np.frombuffer(raw)
+                c_pair[order[cut[row["bucket"]] : cut[row["bucket"] + 1]]] = _unpack(row["a"], np.uint32)
         c = block.count[block.w]
         n = np.where(block.pair >= 0, c_pair[block.pair], 0) if len(c_pair) else np.zeros(len(block.w), dtype=np.int64)
-        v_base = np.where(block.v < 0, start[0], base[block.v])
-        v_weight = np.where(block.v < 0, start[1], weight[block.v])
-        logs = np.where(n > 0, np.log10(np.maximum(d[np.minimum(n, TURING + 1)] * n, 1e-300)) - v_base, v_weight + np.log10(model(c)))
+        first, v = block.v < 0, np.maximum(block.v, 0)
+        v_number = np.where(first, -1, block.number[v])
+        # a seen bigram stands over its history's count, an unseen one is the unigram times the history's weight
+        v_base = np.where(first, start[0], np.log10(np.maximum(block.count[v], 1)))
+        logs = np.where(n > 0, np.log10(np.maximum(d[np.minimum(n, TURING + 1)] * n, 1e-300)) - v_base, np.where(first, start[1], 0.0) + np.log10(model(c)))
         add = lambda x: np.add.reduceat(x, block.starts)
         plain = add(np.log10(c + 1.0)) - block.lens * np.log10(model.total + model.kinds + 1.0)
-        columns = [whole["ids"], whole["held"], block.lens.astype(np.int64), add((c > 0).astype(np.int64)), np.full(len(block.lens), model.total), plain, add(logs), add((n > 0).astype(np.int64))]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-        return pa.table([pa.array(x, ty) for x, ty in zip(columns, types, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bigrams"])
-
-    parts = whole.union(told).union(answers).union(weights)
-    return parts.groupBy("block").applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bigrams long")
+        at, size = np.arange(len(block.lens)), len(block.lens)
+        texts = [np.zeros(size, dtype=np.int32), np.full(size, whole["block"]), at, whole["ids"], whole["held"], block.lens.astype(np.int64), add((c > 0).astype(np.int64)), plain, add(logs), add((n > 0).astype(np.int64)), [None] * size, [None] * size, [None] * size]
+        # histories whose weight is asked for: of unseen bigrams, and those that may have given up nothing, since no
+        # bigram of theirs here was seen so rarely that it is discounted
+        spared = np.ones(len(block.number), dtype=bool)
+        spared[v[~first & (n >= 1) & (n <= TURING)]] = False
+        text = np.repeat(at, block.lens)
+        asked = (v_number >= 0) & ((n == 0) | spared[v])
+        key, of = np.unique(text[asked].astype(np.int64) << 32 | v_number[asked], return_inverse=True)
+        unseen = np.bincount(of, weights=n[asked] == 0, minlength=len(key)).astype(np.int64)
+        seen = np.bincount(of, minlength=len(key)) - unseen
+        none, size = [None] * len(key), len(key)
+        extra = [np.ones(size, dtype=np.int32), np.full(size, whole["block"]), key >> 32, none, none, none, none, none, none, none, key & 0xFFFFFFFF, unseen, seen]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        made = [pa.table([pa.array(x, ty) for x, ty in zip(rows, types, strict=True)], names=scored) for rows in (texts, extra)]
+        return pa.concat_tables(made)
+
+    scored = ["kind", "block", "at", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bigrams", "number", "unseen", "seen"]
+    parts = whole.union(told).union(answers)
+    parts = parts.groupBy("block").applyInArrow(evaluate, "kind int, block long, at long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bigrams long, number long, unseen long, seen long")
+    parts = materialise(parts, "lm-scored", ["kind"])
+    wanted = parts.where("kind = 1").select("block", "at", "number", "unseen", "seen").join(history, "number")
+    rest = wanted.groupBy("block", "at").agg(F.sum(F.col("unseen") * F.col("weight") - F.col("seen") * F.col("given")).alias("rest"))
+    texts = parts.where("kind = 0").join(rest, ["block", "at"], "left")
+    return texts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"), "n_bigrams")
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
