@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 from functools import lru_cache
+from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, table
 
-CACHE = 200_000
+CACHE = 500_000
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
 _SPACE = r"\p{White_Space}"
 # fixed pattern of byte-level BPE pre-tokenizers
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|{_SPACE}+(?![^{_SPACE}])|{_SPACE}+")
@@ -69,13 +71,14 @@ class Codec:
             if len(b) == 1 or i in parts:  # a token that no merge makes never comes out
                 self.matches.add_word(b.decode("latin-1"), (i, len(b)))
         self.matches.make_automaton()
+        self.token_of = {b: i for i, b in self.bytes_of.items() if len(b) == 1 or i in parts}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["content"] not in ids}
         self.special |= {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.fits = lru_cache(1 << 17)(self._fits)
-        self.words: dict[str, tuple[str, int, bytes]] = {}
+        self.fits = lru_cache(1 << 18)(self._fits)
+        self.words: dict[str, tuple[str, bytes]] = {}
 
     @staticmethod
     def _edge(token: int, parts: dict, born: dict, side: int) -> list[tuple[int, float]]:
@@ -105,48 +108,45 @@ class Codec:
 
     def encode_word(self, raw: bytes) -> list[int]:
         """The ids of one pre-token: the last token of each prefix, then the way back."""
-        ending: list[list[tuple[int, int]]] = [[] for _ in raw]
-        for end, match in self.matches.iter(raw.decode("latin-1")):
-            ending[end].append(match)
-        last: list[tuple[int, int]] = []
-        for end, found in enumerate(ending):
-            for token, n in found:
-                if n == end + 1 or (last[end - n][1] and self.fits(last[end - n][0], token)):
-                    last.append((token, n))
-                    break
-            else:
-                last.append((-1, 0))
+        if (whole := self.token_of.get(raw)) is not None:
+            return [whole]
+        last, size, fits = [0] * len(raw), [0] * len(raw), self.fits
+        for end, (token, n) in self.matches.iter(raw.decode("latin-1")):
+            if size[end]:
+                continue
+            start = end - n
+            if start < 0 or (size[start] and fits(last[start], token)):
+                last[end], size[end] = token, n
         ids, end = [], len(raw) - 1
         while end >= 0:
-            token, n = last[end]
-            if not n:
+            if not size[end]:
                 raise ValueError("the vocabulary cannot spell this text")
-            ids.append(token)
-            end -= n
+            ids.append(last[end])
+            end -= size[end]
         return ids[::-1]
 
-    def _word(self, word: str) -> tuple[str, int, bytes]:
+    def _word(self, word: str) -> tuple[str, bytes]:
         ids = self.encode_word(word.encode())
         if len(self.words) >= CACHE:
             self.words.clear()
-        got = ",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
+        got = ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
         if len(word) <= 64:
             self.words[word] = got
         return got
 
-    def pieces(self, text: str) -> list[tuple[str, int, bytes]]:
-        """(ids joined by commas, their number, the bytes they decode to) for each pre-token and special token."""
+    def pieces(self, text: str) -> list[tuple[str, bytes]]:
+        """(ids joined by commas, the bytes they decode to) for each pre-token and special token."""
         out, known = [], self.words
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
                 i = self.special[part]
-                out.append((str(i), 1, self.bytes_of[i]))
+                out.append((str(i), self.bytes_of[i]))
             else:
                 out += [known.get(w) or self._word(w) for w in PRETOKEN.findall(part)]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self.pieces(text) for i in ids.split(",")]
+        return [int(i) for ids, _ in self.pieces(text) for i in ids.split(",")]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
@@ -166,9 +166,10 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         n, ids, texts = [], [], []
         for x in batch["text"]:
             pieces = c.pieces(x.as_py() or "")
-            n.append(sum(p[1] for p in pieces))
-            ids.append(hashlib.sha256(",".join([p[0] for p in pieces]).encode()).hexdigest())
-            decoded = b"".join([p[2] for p in pieces]).decode("utf-8", "replace")
+            spelled = ",".join(map(_FIRST, pieces))
+            n.append(spelled.count(",") + 1 if spelled else 0)
+            ids.append(hashlib.sha256(spelled.encode()).hexdigest())
+            decoded = b"".join(map(_SECOND, pieces)).decode("utf-8", "replace")
             texts.append(hashlib.sha256(decoded.encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
