@@ -62,10 +62,17 @@ def delete(spark: SparkSession, df_or_path: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove every scratch table written so far. Call it once the results that read them are stored."""
-    while _written:
-        delete(spark, _written.pop())
+def written() -> list[str]:
+    """The scratch folders written so far and not yet removed."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove scratch folders (all by default). Call it once the results that read them are stored."""
+    for path in written() if paths is None else paths:
+        if path in _written:
+            _written.remove(path)
+            delete(spark, path)
 
 
 def crc_mod(col: Column, n: int) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import fit_logistic, gram_hashes, map_arrow, raw_texts, sigmoid, slot, table, word_hashes
 
-SAMPLE_ROWS = 4096
+SAMPLE_ROWS = 2048
 BITS = 16
 SCALE = 40.0
 L2 = 0.5

@@ -39,6 +39,7 @@ from .common import join_hot, map_arrow, materialise, raw_texts, table
 
 LIST_ROWS = 8192
 SHORT_LIST = 32
+_PAIRS = 1 << 17  # blocks of a list at most
 SEED = 42
 
 
@@ -191,40 +192,41 @@ def links(distinct: DataFrame, profile: Profile, list_rows: int = LIST_ROWS) ->
         return pa.RecordBatch.from_arrays([pa.array(np.stack(keys, axis=1).ravel()), batch["node"].take(pa.array(np.repeat(np.arange(len(fps)), n))), batch["fp"].take(pa.array(np.repeat(np.arange(len(fps)), n)))], names=["key", "node", "fp"])
 
     posts = map_arrow(distinct.select("node", "fp"), post, "key long, node long, fp binary")
-    sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > list_rows)
-    # lists that need splitting are few: at most one in `list_rows` rows has a key of its own here
+    # the lists that need splitting are few (each holds more than `list_rows` rows); stored, their size is known before
+    # the join, so that the posts need not be shuffled for it
+    sizes = materialise(posts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > list_rows), "long-lists")
     posts = posts.join(sizes, "key", "left")
-    g = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(list_rows)).cast("int")
-    i = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
-    posts = posts.withColumn("g", g).withColumn("i", i).select("key", "node", "fp", F.explode(blocks).alias("block"))
-    posts = posts.select("key", "block.x", "block.y", "node", "fp").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    g = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(list_rows)).cast("long")
+    i = F.pmod(F.xxhash64("node"), F.col("g"))
+    # a block pair of a list is numbered key, smaller block, larger block
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda j: (F.col("key") * _PAIRS + F.least("i", j)) * _PAIRS + F.greatest("i", j))
+    posts = posts.withColumn("g", g).withColumn("i", i).select(F.explode(pair).alias("list"), "node", "fp").repartition("list").sortWithinPartitions("list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets()
-        held: tuple[np.ndarray, np.ndarray] = np.empty((0, 4), dtype=np.int64), np.empty((0, width), dtype=np.uint8)
+        held: tuple[np.ndarray, np.ndarray] = np.empty((0, 2), dtype=np.int64), np.empty((0, width), dtype=np.uint8)
 
         def lists(rows: np.ndarray, fps: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
             """New links of the lists that begin at `starts`."""
             size = np.diff(starts, append=len(rows))
             found = []
             for lo, n in zip(starts[size > SHORT_LIST], size[size > SHORT_LIST], strict=True):
-                found += forest(rows[lo : lo + n, 3], fps[lo : lo + n], profile)
+                found += forest(rows[lo : lo + n, 1], fps[lo : lo + n], profile)
             left = np.repeat(np.where(size > SHORT_LIST, 0, size), size) - (np.arange(len(rows)) - np.repeat(starts, size))
             for k in range(1, SHORT_LIST):
                 at = np.flatnonzero(left > k)
                 if not len(at):
                     break
                 at = at[near(fps[at], fps[at + k], profile)]
-                found += zip(rows[at, 3].tolist(), rows[at + k, 3].tolist(), strict=True)
+                found += zip(rows[at, 1].tolist(), rows[at + k, 1].tolist(), strict=True)
             return [(a, b) for a, b in found if sets.join(a, b)]
 
         for batch in batches:
-            rows = np.concatenate([held[0], np.stack([np.asarray(batch[c], dtype=np.int64) for c in ("key", "x", "y", "node")], axis=1)])
+            rows = np.concatenate([held[0], np.stack([np.asarray(batch[c], dtype=np.int64) for c in ("list", "node")], axis=1)])
             fps = np.concatenate([held[1], _matrix(batch["fp"], width)])
             if not len(rows):
                 continue
-            starts = np.concatenate([[0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1])
+            starts = np.concatenate([[0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1])
             last = starts[-1]
             if last and (new := lists(rows[:last], fps[:last], starts[:-1])):
                 yield _pairs(new)
@@ -279,9 +281,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid"))
     distinct = materialise(rows.groupBy("fp").agg(F.min("rid").alias("node"), first.alias("first")), "distinct")
     roots = components(links(distinct, profile))
-    known = distinct.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
+    known = materialise(distinct.join(roots, "node", "left").select("fp", "node", "first", F.coalesce("root", "node").alias("root")), "roots")
     smallest = known.groupBy("root").agg(F.min("first").alias("least"))
-    reach = materialise(known.join(smallest, "root").select("fp", F.col("least.id").alias("component_id"), F.col("least.rid").alias("keep_rid")), "components")
+    reach = materialise(join_hot(known, smallest, "root", F.col("node")).select("fp", F.col("least.id").alias("component_id"), F.col("least.rid").alias("keep_rid")), "components")
     return join_hot(rows, reach, "fp", F.col("rid")).select(
         "rid", F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id", (F.col("rid") == F.col("keep_rid")).alias("kept")
     )

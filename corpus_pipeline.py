@@ -6,35 +6,57 @@ columns of documents. Models are trained on the labelled rows among the document
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.llm import exact_dedup, packing, quality, simhash, toxicity
-from catalith.llm.common import materialise, table
+from catalith.llm.common import materialise, release, table, written
 
 ROW = "__pipeline_row"
+_left: list[str] = []
+
+
+def _stage(work):
+    """A stage begins when its predecessor's result is stored, so what that one left in the shared folder can go."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left)
+        before = set(written())
+        out = work(spark, docs, sf_dir)
+        _left[:] = [x for x in written() if x not in before]
+        return out
+
+    return run_stage
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the base rules or the quality model reject."""
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@_stage
 def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts that score 0.5 or more."""
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@_stage
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal after white space is normalised, keep the row with the smallest id."""
     return _without_dropped(docs, lambda rows: exact_dedup.exact_groups(rows, row_col=ROW))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked at a similarity of 0.8 or more of their five-word shingles, keep the row with the smallest id."""
     return _without_dropped(docs, lambda rows: simhash.near_groups(rows, profile=simhash.SIMILAR, row_col=ROW))
 
 
+@_stage
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's bucket, batch and slot."""
     return packing.pack(docs)
