@@ -103,14 +103,14 @@ class LabelModel:
     """The class prior, each voter's accuracy when it votes, and that accuracy given that its parent was right or wrong.
 
     Votes are 1 (toxic), -1 (clean) or 0 (abstains); whether a voter abstains says nothing about the class. The tree of
-    parents is a maximum spanning forest of the mutual information between who votes; a voter that repeats its parent
-    then adds nothing to it."""
+    parents is a maximum spanning forest of the mutual information between votes given the class; a voter that repeats its
+    parent then adds nothing to it."""
 
-    LEAST_INFORMATION = 10.0
+    LEAST_INFORMATION = 20.0
 
     def __init__(self, v: np.ndarray, start: np.ndarray, alone: int, rounds: int = 30) -> None:
         """`alone`: so many first voters have no parent."""
-        self.parent = self._tree((v != 0).astype(float), alone)
+        self.parent = self._tree(v, start, alone)
         up = np.where(self.parent >= 0, self.parent, 0)
         linked = (self.parent >= 0) & (v != 0) & (v[:, up] != 0)
         p = start
@@ -132,14 +132,17 @@ class LabelModel:
             if done:
                 break
 
-    def _tree(self, voted: np.ndarray, alone: int) -> np.ndarray:
-        n, m = voted.shape
-        both, one = (voted.T @ voted + 0.25) / (n + 1), (voted.sum(axis=0) + 0.5) / (n + 1)
+    def _tree(self, v: np.ndarray, start: np.ndarray, alone: int) -> np.ndarray:
+        m = v.shape[1]
         info = np.zeros((m, m))
-        for i, pi in ((1, one), (0, 1 - one)):
-            for j, pj in ((1, one), (0, 1 - one)):
-                q = np.clip(both if i and j else one[:, None] - both if i else one[None, :] - both if j else 1 - one[:, None] - one[None, :] + both, 1e-9, 1)
-                info += n * q * np.log(q / np.clip(pi[:, None] * pj[None, :], 1e-12, 1))
+        states = [(v == a).astype(float) for a in (-1, 0, 1)]
+        for weight in (start, 1 - start):
+            n = weight.sum() + 9
+            ones = [(weight @ x + 3) / n for x in states]
+            for x, px in zip(states, ones, strict=True):
+                for z, pz in zip(states, ones, strict=True):
+                    q = ((x * weight[:, None]).T @ z + 1) / n
+                    info += n * q * np.log(q / (px[:, None] * pz[None, :]))
         info[:alone], info[:, :alone] = -1, -1
         parent, best, origin, inside = np.full(m, -1), np.full(m, -1.0), np.full(m, -1), np.zeros(m, dtype=bool)
         for _ in range(m):
