@@ -49,7 +49,8 @@ def load_exports(spark: SparkSession, folder: str, out: str) -> list[tuple[str,
         name, doc_type_id = known
         try:
             rows, _ = read_export(spark, f"{folder}/{file}", name, doc_type_id)
-            writer = rows.write.mode("append" if name in PARTITIONED else "overwrite")
+            # a family's table is replaced partition by partition, so loading again repeats nothing
+            writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             (writer.partitionBy("doc_type_id") if name in PARTITIONED else writer).parquet(f"{out}/{name}")
             log.append((file, name, rows.count()))
         except Exception as e:  # one bad table is a warning
