@@ -80,12 +80,13 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = 64) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, spread: Column) -> DataFrame:
     """Left join of `left` with `right`, whose `key` is unique, when one key may hold a third of left's rows.
 
-    `spread` deals the rows of a key over `salts` parts. First the few (key, part) pairs meet the unique side,
+    `spread` deals the rows of a key over as many parts as there are shuffle partitions (64 at least). First the few (key, part) pairs meet the unique side,
     then each part of the rows meets its own pair, so no task gets more than a part. `left` is read twice:
     hand in a stored table. Null keys match nothing."""
+    salts = max(64, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = left.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     pairs = salted.select(key, "_part").distinct().join(right, key)
     return salted.join(pairs, [key, "_part"], "left").drop("_part")

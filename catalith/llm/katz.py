@@ -135,7 +135,7 @@ def _sums_of_counts(c) -> list:
 def unigrams(made: DataFrame) -> DataFrame:
     """(word, c, number, bucket) of every training word: frequent words get small numbers."""
     spark = made.sparkSession
-    buckets = min(256, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(4096, int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = made.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts")
     counted = words.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")).where("c > 0")
     counted = counted.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
