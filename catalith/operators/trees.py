@@ -91,14 +91,17 @@ def assemble(tree: DataFrame) -> DataFrame:
     return tree.groupBy("parent_id").agg(F.sort_array(F.collect_list(child)).alias("children"))
 
 
-def search_tree(tree: DataFrame, term: str) -> DataFrame:
-    """The nodes whose name contains the term and their ancestors, with `expanded`: a kept node below it."""
+def search_tree(tree: DataFrame, term: str, nodes: DataFrame | None = None) -> DataFrame:
+    """The nodes whose name contains the term and their ancestors, with `expanded`: a kept node below it.
+
+    `nodes` (id, parent_id), if given, is a stored table with all edges of the tree: climbing it spares the tree's own
+    recursion at every step."""
     term = term.strip().lower()
     if not term:
         return tree.withColumn("expanded", F.lit(False))
     hits = tree.where(F.contains(F.lower("name"), F.lit(term)))
     view, hit_view = f"tree_{uuid.uuid4().hex}", f"hits_{uuid.uuid4().hex}"
-    tree.select("id", "parent_id").createOrReplaceTempView(view)
+    (tree if nodes is None else nodes).select("id", "parent_id").createOrReplaceTempView(view)
     hits.select("id", "parent_id").createOrReplaceTempView(hit_view)
     kept = tree.sparkSession.sql(
         f"WITH RECURSIVE up MAX RECURSION LEVEL {MAX_LEVELS} AS (SELECT id, parent_id FROM {hit_view}"

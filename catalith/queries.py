@@ -222,7 +222,9 @@ def symptom_tree_vehicle(spark, d):
 up AS (SELECT node_id, parent_id FROM below WHERE lower(name) LIKE '%012%' UNION SELECT t.node_id, t.parent_id FROM below t JOIN up u ON t.node_id = u.parent_id)
 SELECT DISTINCT t.node_id AS id, t.name, t.parent_id, CASE WHEN t.node_id IN (SELECT parent_id FROM up) THEN 1 ELSE 0 END AS expanded FROM below t WHERE t.node_id IN (SELECT node_id FROM up)""")
 def tree_search(spark, d):
-    found = trees.search_tree(trees.symptom_tree(catalog(spark, d), -1), " 012 ")
+    c = catalog(spark, d)
+    edges = trees.path_nodes(c).select(F.col("node_id").alias("id"), "parent_id").where("id > 0")
+    found = trees.search_tree(trees.symptom_tree(c, -1), " 012 ", edges)
     return found.select("id", "name", "parent_id", F.col("expanded").cast("int").alias("expanded"))
 
 
