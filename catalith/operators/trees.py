@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -65,11 +66,10 @@ def descendants(nodes: DataFrame, root_id: int, levels: int = MAX_LEVELS) -> Dat
 def reachable(nodes: DataFrame, root_id: int) -> DataFrame:
     """descendants() with set semantics: the frontier grows by rows not yet seen, so cycles end it. Each round is
     checkpointed in the folder spark.checkpoint.dir names."""
-    context = nodes.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp())
+    session = nodes.sparkSession
+    if session.sparkContext.getCheckpointDir() is None:
+        # only a session that names no folder, as in tests on one machine, gets one of its own
+        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     seen = frontier = nodes.where(F.col("parent_id") == root_id).distinct().checkpoint()
     while not frontier.isEmpty():
         ids = frontier.select(F.col("node_id").alias("parent_id")).distinct()
