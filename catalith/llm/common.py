@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -161,28 +162,41 @@ def slot(h: np.ndarray, bits: int) -> np.ndarray:
 
 # --- logistic regression -------------------------------------------------------------------------------------
 
+PART_ROWS = 256
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, dims: int, l2: float, steps: int = 60) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: Iterable[tuple[np.ndarray, np.ndarray]], target: np.ndarray, dims: int, l2: float, steps: int = 60) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression on sparse rows (places, values) against probabilities, by L-BFGS.
 
-    Only places that occur get a parameter. Without rows the model is all zero."""
-    if not rows:
+    Only places that occur get a parameter. Without rows the model is all zero. Rows are read once and kept in parts
+    of `PART_ROWS`, so that a gradient needs working memory for one part only."""
+    parts, used, rows = [], np.zeros(dims, dtype=bool), iter(rows)
+    for lo in range(0, len(target), PART_ROWS):
+        own = list(islice(rows, min(PART_ROWS, len(target) - lo)))
+        at = np.concatenate([i for i, _ in own])
+        used[at] = True
+        parts.append((target[lo : lo + len(own)], [len(i) for i, _ in own], at.astype(np.int32), np.concatenate([v for _, v in own])))
+    if not parts:
         return np.zeros(dims, dtype=np.float32), 0.0
-    counts = np.array([len(i) for i, _ in rows])
-    places, at = np.unique(np.concatenate([i for i, _ in rows]), return_inverse=True)
-    value = np.concatenate([v for _, v in rows]).astype(np.float64)
-    of = np.repeat(np.arange(len(rows)), counts)
+    places = np.flatnonzero(used)
     d = len(places)
+    rank = np.cumsum(used, dtype=np.int32) - 1
+    for _, _, at, _ in parts:
+        at[:] = rank[at]
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(of, weights=value * p[at], minlength=len(rows)) + p[d]
-        gap = sigmoid(z) - target
-        value_of = np.logaddexp(0, z).sum() - target @ z + 0.5 * l2 * (p[:d] @ p[:d])
-        grad = np.append(np.bincount(at, weights=value * gap[of], minlength=d) + l2 * p[:d], gap.sum())
+        value_of, grad = 0.5 * l2 * (p[:d] @ p[:d]), np.append(l2 * p[:d], 0.0)
+        for aim, sizes, at, value in parts:
+            of = np.repeat(np.arange(len(aim)), sizes)
+            z = np.bincount(of, weights=value * p[at], minlength=len(aim)) + p[d]
+            gap = sigmoid(z) - aim
+            value_of += np.logaddexp(0, z).sum() - aim @ z
+            grad[:d] += np.bincount(at, weights=value * gap[of], minlength=d)
+            grad[d] += gap.sum()
         return value_of, grad
 
     p = np.zeros(d + 1)
@@ -198,7 +212,7 @@ def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray,
         for (s, y), a in zip(past, reversed(alphas), strict=True):
             q += s * (a - (y @ q) / (s @ y))
         slope, t = -(g @ q), 1.0
-        if slope >= 0 or np.abs(g).max() < 1e-5 * len(rows):
+        if slope >= 0 or np.abs(g).max() < 1e-5 * len(target):
             break
         while True:
             f2, g2 = loss(p - t * q)

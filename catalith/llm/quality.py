@@ -70,7 +70,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     at, v = got["at"], got["v"]
     rows = [(np.asarray(at[i].values), np.asarray(v[i].values)) for i in order.tolist()]
     held = np.arange(len(y)) % 5 == 0
-    w, b = fit_logistic([r for r, h in zip(rows, held, strict=True) if not h], y[~held], 1 << BITS, L2)
+    w, b = fit_logistic((r for r, h in zip(rows, held, strict=True) if not h), y[~held], 1 << BITS, L2)
     z = np.array([w[i] @ x + b for (i, x), h in zip(rows, held, strict=True) if h])
     # Platt's targets keep the calibration finite when the classes are separated
     pos, neg = y[held].sum(), (1 - y[held]).sum()

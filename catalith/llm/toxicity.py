@@ -193,11 +193,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     model = LabelModel(v, np.where(y == 1, 0.95, 0.05), alone=2)
     at = [np.asarray(got["at"][i].values) for i in order]
     # words of one or two texts say nothing about others; what a voter looks for may weigh more than any other word
-    often = np.bincount(np.concatenate(at), minlength=1 << BITS) >= LEAST_TEXTS
+    texts = np.zeros(1 << BITS, dtype=np.int32)
+    for a in at:
+        texts[a] += 1  # a text names a place once
+    often = texts >= LEAST_TEXTS
     scale = np.ones(1 << BITS, dtype=np.float32)
     scale[voter_places([*sorted(LEXICON), *mined])] = VOTER_SCALE
     often |= scale > 1
-    w, b = fit_logistic([(x := a[often[a]], scale[x]) for a in at], model.posterior(v), 1 << BITS, L2)
+    w, b = fit_logistic(((x := a[often[a]], scale[x]) for a in at), model.posterior(v), 1 << BITS, L2)
     w *= scale
     return {"w": w, "b": b, "voters": voters, "model": model}
 
