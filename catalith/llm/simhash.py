@@ -11,7 +11,9 @@ contain one of them, so no linked pair is missed.
 
 Similarity profile (`similarity_profile`): wider fingerprints of five-word shingles for a Jaccard similarity s. The share of
 differing bits estimates acos(2s / (1 + s)) / pi; a pair links up to three standard errors above that. No minimum can
-be guaranteed there, so enough groups are posted to make a meeting nearly certain (see the tests for recall).
+be guaranteed there, so enough groups are posted to make a meeting nearly certain (see the tests for recall). Such links
+are candidates only: within each component of candidates the sets of shingles are compared, and only pairs whose exact
+Jaccard similarity is s or more link (`verified`). Texts with equal sets of shingles are one node there.
 
 Only links that join two sets unknown to a task as joined leave it, never all pairs of a group. A list longer than `LIST_ROWS`
 is split into blocks, and pairs of blocks go to different tasks, so no list is held whole. Components grow by
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from .common import join_hot, map_arrow, materialise, raw_texts, table
 
 LIST_ROWS = 8192
+VERIFY_ROWS = 2048
 SHORT_LIST = 32
 _PAIRS = 1 << 17  # blocks of a list at most
 SEED = 42
@@ -61,6 +64,7 @@ class Profile:
     max_bits: int  # linked up to so many differing bits
     min_shared: int  # positional bytes that a linked pair must share
     groups: tuple[tuple[int, ...], ...]  # positions posted together
+    similarity: float | None = None  # links are verified by this Jaccard similarity of their sets of shingles
 
 
 STRICT = Profile(shingle=3, words=1, max_bits=3, min_shared=5, groups=covering(8, 5, 3))
@@ -71,7 +75,7 @@ def similarity_profile(similarity: float = 0.8, shingle: int = 5, words: int = 4
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     limit = int(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     pairs = [(i, (i + step) % n) for step in (1, 3, 7, 11, 5, 9, 13) for i in range(n)][:groups]
-    return Profile(shingle, words, limit, 2, tuple(pairs))
+    return Profile(shingle, words, limit, 2, tuple(pairs), similarity)
 
 
 SIMILAR = similarity_profile()
@@ -87,17 +91,24 @@ def _spread(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingles(raw: bytes, n: int) -> np.ndarray:
+    """The XXH64 hashes of a text's n-word shingles in order of the text."""
+    words = raw.lower().split()  # bytes.lower() changes A-Z only; bytes.split() cuts at \x20 and \x09-\x0D
+    if not words:
+        return np.empty(0, dtype=">u8")
+    parts: Iterator = iter([words]) if len(words) < n else zip(*(words[k:] for k in range(n)), strict=False)
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, map(b" ".join, parts), repeat(SEED))), dtype=">u8")
+
+
 def fingerprint(raw: bytes, profile: Profile = STRICT) -> bytes:
     """The bytes of a text's fingerprint, highest bit first; the first word is the XXH64 SimHash."""
-    words = raw.lower().split()  # bytes.lower() changes A-Z only; bytes.split() cuts at \x20 and \x09-\x0D
+    return _majority(shingles(raw, profile.shingle), profile)
+
+
+def _majority(h: np.ndarray, profile: Profile) -> bytes:
     width = 8 * profile.words
-    if not words:
+    if not len(h):
         return bytes(width)
-    if len(words) < profile.shingle:
-        parts: Iterator = iter([words])
-    else:
-        parts = zip(*(words[k:] for k in range(profile.shingle)), strict=False)
-    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, map(b" ".join, parts), repeat(SEED))), dtype=">u8")
     ones = np.zeros(8 * width, dtype=np.int64)
     for at in range(0, len(h), 1 << 15):
         part = h[at : at + (1 << 15)]
@@ -108,14 +119,22 @@ def fingerprint(raw: bytes, profile: Profile = STRICT) -> bytes:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, profile: Profile, row_col: str | None = None) -> DataFrame:
-    """rid, id and fp (binary) for each row."""
+    """rid, id and fp (binary) for each row; with a similarity, fp is that of the set of shingles, and its digest follows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [fingerprint(raw, profile) for raw in raw_texts(batch["text"])]
-        return pa.RecordBatch.from_arrays([batch["rid"], batch["id"], pa.array(fps, pa.binary())], names=["rid", "id", "fp"])
+        if profile.similarity is None:
+            made = {"fp": [fingerprint(raw, profile) for raw in raw_texts(batch["text"])]}
+        else:
+            made = {"fp": [], "digest": []}
+            for raw in raw_texts(batch["text"]):
+                held = np.unique(shingles(raw, profile.shingle).astype(np.uint64))
+                made["fp"].append(_majority(held.astype(">u8"), profile))
+                made["digest"].append(xxhash.xxh128_digest(held.tobytes()))
+        return pa.RecordBatch.from_arrays([batch["rid"], batch["id"], *(pa.array(x, pa.binary()) for x in made.values())], names=["rid", "id", *made])
 
     rid = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    return map_arrow(docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "rid long, id long, fp binary")
+    schema = "rid long, id long, fp binary" + (", digest binary" if profile.similarity is not None else "")
+    return map_arrow(docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, schema)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -275,16 +294,111 @@ def components(edges: DataFrame) -> DataFrame:
         stamp = new
 
 
+def jaccard_forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span the components of exact Jaccard similarity among sets of shingles, breadth first.
+
+    Shingles are ordered rarest first. Sets that are similar enough share a shingle among the first
+    n - ceil(similarity * n) + 1 of each, so only sets that do are compared, in full."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, of, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(n), dtype=np.int64)
+    rank[np.argsort(n, kind="stable")] = np.arange(len(n))
+    rank = rank[of]
+    rank = rank[np.lexsort((rank, owner))]
+    starts = np.concatenate([[0], np.cumsum(size)])
+    head = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    in_head = np.arange(len(rank)) - np.repeat(starts[:-1], size) < np.repeat(head, size)
+
+    def index(free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(in_head & free[owner])
+        at = at[np.argsort(rank[at], kind="stable")]
+        return rank[at], owner[at]
+
+    free, mine, links = np.ones(len(sets), dtype=bool), np.zeros(len(n), dtype=bool), []
+    keys, holders = index(free)
+    left = indexed = len(sets)
+    for first in range(len(sets)):
+        if not free[first]:
+            continue
+        free[first], front = False, [first]
+        left -= 1
+        while front and left:
+            if 2 * left < indexed:
+                (keys, holders), indexed = index(free), left
+            a = front.pop()
+            own = rank[starts[a] : starts[a + 1]]
+            lo, hi = (np.searchsorted(keys, own[: head[a]], side) for side in ("left", "right"))
+            met = [holders[x:y] for x, y in zip(lo, hi, strict=True) if x < y]
+            if not met:
+                continue
+            met = np.unique(np.concatenate(met))
+            met = met[free[met] & (np.minimum(size[met], size[a]) >= similarity * np.maximum(size[met], size[a]) - 1e-9)]
+            mine[own] = True
+            shared = np.array([np.count_nonzero(mine[rank[starts[b] : starts[b + 1]]]) for b in met], dtype=np.int64)
+            mine[own] = False
+            met = met[shared / (size[met] + size[a] - shared) >= similarity]
+            free[met] = False
+            left -= len(met)
+            links += [(int(nodes[a]), int(nodes[b])) for b in met]
+            front += met.tolist()
+    return links
+
+
+def verified(texts: DataFrame, candidates: DataFrame, profile: Profile, list_rows: int = VERIFY_ROWS) -> DataFrame:
+    """(a, b) links of exact similarity that connect all similar pairs within each component of `candidates`
+    (node, root). `texts` (rid, text) holds the nodes' texts. Large components are dealt in pairs of blocks."""
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = [np.unique(shingles(raw, profile.shingle).astype(np.uint64)).tobytes() for raw in raw_texts(batch["text"])]
+        return pa.RecordBatch.from_arrays([batch["root"], batch["node"], pa.array(held, pa.binary())], names=["root", "node", "held"])
+
+    members = materialise(candidates.union(candidates.select(F.col("root").alias("node"), "root")).distinct(), "members")
+    large = materialise(members.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > list_rows), "large-groups")
+    held = map_arrow(texts.join(members, texts["rid"] == members["node"]).select("root", "node", "text"), sets, "root long, node long, held binary").join(large, "root", "left")
+    g = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(list_rows)).cast("long")
+    i = F.pmod(F.xxhash64("node"), F.col("g"))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda j: F.xxhash64("root", F.least("i", j), F.greatest("i", j)))
+    held = held.withColumn("g", g).withColumn("i", i).select(F.explode(pair).alias("list"), "node", "held").repartition("list").sortWithinPartitions("list")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, own = None, [], []
+
+        def out() -> list[tuple[int, int]]:
+            return jaccard_forest(np.array(nodes), own, profile.similarity) if len(nodes) > 1 else []
+
+        for batch in batches:
+            found = []
+            for key, node, raw in zip(batch["list"].to_pylist(), batch["node"].to_pylist(), batch["held"], strict=True):
+                if key != now:
+                    found += out()
+                    now, nodes, own = key, [], []
+                nodes.append(node)
+                own.append(np.frombuffer(raw.as_py(), dtype=np.uint64))
+            if found:
+                yield _pairs(found)
+        if found := out():
+            yield _pairs(found)
+
+    return held.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", profile: Profile = STRICT, row_col: str | None = None) -> DataFrame:
     """One row per input row: rid, id, fp (hex), component_id (smallest id reachable) and kept (the row with that id)."""
+    if profile.similarity is not None and row_col is None:
+        docs, row_col = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), id_col, text_col), "numbered"), "_row"
     rows = materialise(fingerprints(docs, id_col, text_col, profile, row_col), "fingerprints")
+    same = "fp" if profile.similarity is None else "digest"
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid"))
-    distinct = materialise(rows.groupBy("fp").agg(F.min("rid").alias("node"), first.alias("first")), "distinct")
+    distinct = materialise(rows.groupBy(same).agg(F.min("rid").alias("node"), first.alias("first"), *([F.first("fp").alias("fp")] if same != "fp" else [])), "distinct")
     roots = components(links(distinct, profile))
-    known = materialise(distinct.join(roots, "node", "left").select("fp", "node", "first", F.coalesce("root", "node").alias("root")), "roots")
+    if profile.similarity is not None:
+        texts = docs.select(F.col(row_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
+        roots = components(verified(texts, roots, profile))
+    known = materialise(distinct.join(roots, "node", "left").select(same, "node", "first", F.coalesce("root", "node").alias("root")), "roots")
     smallest = known.groupBy("root").agg(F.min("first").alias("least"))
-    reach = materialise(join_hot(known, smallest, "root", F.col("node")).select("fp", F.col("least.id").alias("component_id"), F.col("least.rid").alias("keep_rid")), "components")
-    return join_hot(rows, reach, "fp", F.col("rid")).select(
+    reach = materialise(join_hot(known, smallest, "root", F.col("node")).select(same, F.col("least.id").alias("component_id"), F.col("least.rid").alias("keep_rid")), "components")
+    return join_hot(rows, reach, same, F.col("rid")).select(
         "rid", F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id", (F.col("rid") == F.col("keep_rid")).alias("kept")
     )
 

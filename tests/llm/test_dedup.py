@@ -111,6 +111,62 @@ def test_similar_texts(spark):
     assert sum(r["kept"] for r in got) == len(set(by_id.values()))
 
 
+def plain_similar(texts, similarity=0.8):
+    """The smallest place reachable by pairs of five-word shingle sets with that Jaccard similarity."""
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()})
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or shared and shared / (len(sets[i]) + len(sets[j]) - shared) >= similarity:
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    return least
+
+
+def altered(similarity_steps, seed=11, length=200):
+    """Texts with copies whose tail is other words, so that similarities lie on both sides of 0.8."""
+    rng, texts = np.random.default_rng(seed), []
+    for k in range(30):
+        words = [f"w{i}" for i in rng.integers(0, 5000, size=length)]
+        texts.append(" ".join(words))
+        for cut in similarity_steps:
+            texts.append(" ".join(words[: length - cut] + [f"x{i}" for i in rng.integers(0, 5000, size=cut)]))
+    return texts
+
+
+def test_similar_texts_are_verified(spark):
+    """Only texts with a path of exact similarities of 0.8 or more share a component, whatever their fingerprints say."""
+    texts = altered((10, 21, 24, 30, 40)) + ["spam eggs " * 40 + f"{k} one two three four five six" for k in range(3)] + [None, "", "one two"]
+    got = simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), profile=simhash.SIMILAR).collect()
+    want = plain_similar(texts)
+    by_id = {r["doc_id"]: r["component_id"] for r in got}
+    assert all(want[k] == want[c] for k, c in by_id.items())
+    assert sum(r["kept"] for r in got) >= len(set(want))
+
+
+def test_jaccard_forest():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 10**6, size=50, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[: 50 - c], rng.integers(0, 10**6, size=c, dtype=np.uint64)])) for c in (0, 3, 5, 6, 8, 12)]
+    sets.append(np.empty(0, dtype=np.uint64))
+    links = simhash.jaccard_forest(np.arange(len(sets)), sets, 0.8)
+    found, want = simhash.Sets(), simhash.Sets()
+    for a, b in links:
+        assert found.join(a, b)
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if shared and shared / (len(sets[i]) + len(sets[j]) - shared) >= 0.8:
+                want.join(i, j)
+    assert [found.root(k) for k in range(len(sets))] == [want.root(k) for k in range(len(sets))]
+
+
 def plain_groups(rows):
     out = []
     texts = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
