@@ -9,11 +9,14 @@ Strict profile (the query): 64 bits, links at 3 or fewer differing bits. Those t
 shares at least 5 of 8 positional bytes: the guaranteed minimum. The position groups are a covering: any 5 positions
 contain one of them, so no linked pair is missed.
 
-Similarity profile (`similarity_profile`): wider fingerprints of five-word shingles for a Jaccard similarity s. The share of
-differing bits estimates acos(2s / (1 + s)) / pi; a pair links up to three standard errors above that. No minimum can
-be guaranteed there, so enough groups are posted to make a meeting nearly certain (see the tests for recall). Such links
-are candidates only: within each component of candidates the sets of shingles are compared, and only pairs whose exact
-Jaccard similarity is s or more link (`verified`). Texts with equal sets of shingles are one node there.
+Similarity profile (`similarity_profile`): for a Jaccard similarity s of sets of five-word shingles. The index posts shingles
+instead of bytes, in one order for all texts: a set of n posts its first n - ceil(s * n) + 1. Sets of similarity s or more
+share at least ceil(s * n) shingles, so they share a posted one: every such pair meets. Of pairs that meet, those whose
+256-bit fingerprints of the sets differ in at most `max_bits` are candidates. The share of differing bits estimates
+acos(2s / (1 + s)) / pi; the limit is 4.5 standard errors above that, which a pair at s exceeds in about 6 of a million cases, and
+more similar pairs more rarely. Within each component of candidates the sets are compared, and only pairs whose exact
+similarity is s or more link (`verified`). Texts with equal sets are one node. The order puts shingles that a
+sample finds in many texts last, which keeps lists short; whatever the sample says, no pair is missed for it.
 
 Only links that join two sets unknown to a task as joined leave it, never all pairs of a group. A list longer than `LIST_ROWS`
 is split into blocks, and pairs of blocks go to different tasks, so no list is held whole. Components grow by
@@ -41,6 +44,8 @@ from .common import join_hot, map_arrow, materialise, raw_texts, table
 
 LIST_ROWS = 8192
 VERIFY_ROWS = 2048
+POST_ROWS = 1024
+SAMPLE = 64  # one row of so many tells which shingles are frequent
 SHORT_LIST = 32
 _PAIRS = 1 << 17  # blocks of a list at most
 SEED = 42
@@ -70,12 +75,11 @@ class Profile:
 STRICT = Profile(shingle=3, words=1, max_bits=3, min_shared=5, groups=covering(8, 5, 3))
 
 
-def similarity_profile(similarity: float = 0.8, shingle: int = 5, words: int = 4, groups: int = 64) -> Profile:
-    bits, n = 64 * words, 8 * words
+def similarity_profile(similarity: float = 0.8, shingle: int = 5, words: int = 4) -> Profile:
+    bits = 64 * words
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    limit = int(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
-    pairs = [(i, (i + step) % n) for step in (1, 3, 7, 11, 5, 9, 13) for i in range(n)][:groups]
-    return Profile(shingle, words, limit, 2, tuple(pairs), similarity)
+    limit = int(bits * share + 4.5 * math.sqrt(bits * share * (1 - share)))
+    return Profile(shingle, words, limit, max(0, 8 * words - limit), (), similarity)
 
 
 SIMILAR = similarity_profile()
@@ -105,6 +109,32 @@ def fingerprint(raw: bytes, profile: Profile = STRICT) -> bytes:
     return _majority(shingles(raw, profile.shingle), profile)
 
 
+def _head(n: np.ndarray | int, similarity: float) -> np.ndarray:
+    """How many shingles of a set of n suffice to share one with every set of that similarity."""
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+
+
+def posted(held: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of a sorted set that the index lists it under; those in `common` (sorted) come last in the order."""
+    if not len(held):
+        return held
+    often = np.isin(held, common) if len(common) else np.zeros(len(held), dtype=bool)
+    return np.concatenate([held[~often], held[often]])[: _head(np.int64(len(held)), similarity)]
+
+
+def frequent(texts: DataFrame, profile: Profile) -> np.ndarray:
+    """Shingles of many texts, sorted, from a sample of the rows of `texts` (rid, text)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = [np.unique(shingles(raw, profile.shingle).astype(np.uint64)) for raw in raw_texts(batch["text"])]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["h"])
+
+    least = max(16, texts.count() // SAMPLE // 4096)
+    sample = map_arrow(texts.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0).select("text"), run, "h long")
+    found = sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h").collect()
+    return np.sort(np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64))
+
+
 def _majority(h: np.ndarray, profile: Profile) -> bytes:
     width = 8 * profile.words
     if not len(h):
@@ -119,22 +149,25 @@ def _majority(h: np.ndarray, profile: Profile) -> bytes:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, profile: Profile, row_col: str | None = None) -> DataFrame:
-    """rid, id and fp (binary) for each row; with a similarity, fp is that of the set of shingles, and its digest follows."""
+    """rid, id and fp (binary) for each row; with a similarity, fp is that of the set of shingles, and the set's digest and
+    posted shingles follow."""
+    rid = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    docs = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    common = frequent(docs.select("rid", "text"), profile) if profile.similarity is not None else None
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if profile.similarity is None:
             made = {"fp": [fingerprint(raw, profile) for raw in raw_texts(batch["text"])]}
         else:
-            made = {"fp": [], "digest": []}
+            made = {"fp": [], "digest": [], "posted": []}
             for raw in raw_texts(batch["text"]):
                 held = np.unique(shingles(raw, profile.shingle).astype(np.uint64))
                 made["fp"].append(_majority(held.astype(">u8"), profile))
                 made["digest"].append(xxhash.xxh128_digest(held.tobytes()))
+                made["posted"].append(posted(held, common, profile.similarity).tobytes())
         return pa.RecordBatch.from_arrays([batch["rid"], batch["id"], *(pa.array(x, pa.binary()) for x in made.values())], names=["rid", "id", *made])
 
-    rid = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    schema = "rid long, id long, fp binary" + (", digest binary" if profile.similarity is not None else "")
-    return map_arrow(docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, schema)
+    return map_arrow(docs, run, "rid long, id long, fp binary" + (", digest binary, posted binary" if profile.similarity is not None else ""))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -210,7 +243,17 @@ def links(distinct: DataFrame, profile: Profile, list_rows: int = LIST_ROWS) ->
         n = len(profile.groups)
         return pa.RecordBatch.from_arrays([pa.array(np.stack(keys, axis=1).ravel()), batch["node"].take(pa.array(np.repeat(np.arange(len(fps)), n))), batch["fp"].take(pa.array(np.repeat(np.arange(len(fps)), n)))], names=["key", "node", "fp"])
 
-    posts = map_arrow(distinct.select("node", "fp"), post, "key long, node long, fp binary")
+    def post_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, POST_ROWS) for at in range(0, whole.num_rows, POST_ROWS)):
+                keys = [np.frombuffer(x.as_py(), dtype=np.int64) for x in batch["posted"]]
+                of = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch["node"].take(of), batch["fp"].take(of)], names=["key", "node", "fp"])
+
+    if profile.similarity is None:
+        posts = map_arrow(distinct.select("node", "fp"), post, "key long, node long, fp binary")
+    else:
+        posts = distinct.select("node", "fp", "posted").mapInArrow(post_shingles, "key long, node long, fp binary")
     # the lists that need splitting are few (each holds more than `list_rows` rows); stored, their size is known before
     # the join, so that the posts need not be shuffled for it
     sizes = materialise(posts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > list_rows), "long-lists")
@@ -218,7 +261,12 @@ def links(distinct: DataFrame, profile: Profile, list_rows: int = LIST_ROWS) ->
     g = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(list_rows)).cast("long")
     i = F.pmod(F.xxhash64("node"), F.col("g"))
     # a block pair of a list is numbered key, smaller block, larger block
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda j: (F.col("key") * _PAIRS + F.least("i", j)) * _PAIRS + F.greatest("i", j))
+    # (hashed where keys have all 64 bits: lists that clash are only compared with one another in vain)
+    if profile.similarity is None:
+        number = lambda j: (F.col("key") * _PAIRS + F.least("i", j)) * _PAIRS + F.greatest("i", j)
+    else:
+        number = lambda j: F.xxhash64("key", F.least("i", j), F.greatest("i", j))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), number)
     posts = posts.withColumn("g", g).withColumn("i", i).select(F.explode(pair).alias("list"), "node", "fp").repartition("list").sortWithinPartitions("list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +355,7 @@ def jaccard_forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float)
     rank = rank[of]
     rank = rank[np.lexsort((rank, owner))]
     starts = np.concatenate([[0], np.cumsum(size)])
-    head = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    head = _head(size, similarity)
     in_head = np.arange(len(rank)) - np.repeat(starts[:-1], size) < np.repeat(head, size)
 
     def index(free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -390,7 +438,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = materialise(fingerprints(docs, id_col, text_col, profile, row_col), "fingerprints")
     same = "fp" if profile.similarity is None else "digest"
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid"))
-    distinct = materialise(rows.groupBy(same).agg(F.min("rid").alias("node"), first.alias("first"), *([F.first("fp").alias("fp")] if same != "fp" else [])), "distinct")
+    distinct = materialise(rows.groupBy(same).agg(F.min("rid").alias("node"), first.alias("first"), *([F.first(c).alias(c) for c in ("fp", "posted")] if same != "fp" else [])), "distinct")
     roots = components(links(distinct, profile))
     if profile.similarity is not None:
         texts = docs.select(F.col(row_col).alias("rid"), F.col(text_col).cast("string").alias("text"))

@@ -148,6 +148,21 @@ def test_similar_texts_are_verified(spark):
     assert sum(r["kept"] for r in got) >= len(set(want))
 
 
+def test_no_similar_pair_is_missed(spark):
+    """Isolated pairs just above 0.8 all meet, also where most shingles are frequent ones and groups are split."""
+    texts = [x for k in range(8) for x in altered((21,), seed=20 + k)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs, profile=simhash.SIMILAR).collect()}
+    assert [got[k] for k in range(len(texts))] == plain_similar(texts) == [k // 2 * 2 for k in range(len(texts))]
+    ids = spark.createDataFrame([(k, 0) for k in range(1, len(texts))], "node long, root long")
+    split = simhash.components(simhash.verified(docs.withColumnRenamed("doc_id", "rid"), ids, simhash.SIMILAR, 100))
+    assert {r["node"]: r["root"] for r in split.collect()} == {k: k - 1 for k in range(1, len(texts), 2)}
+    sets = [np.unique(simhash.shingles(t.encode(), 5).astype(np.uint64)) for t in texts]
+    for common in (np.empty(0, dtype=np.uint64), sets[0], np.unique(np.concatenate(sets))[::3]):
+        heads = [simhash.posted(x, common, 0.8) for x in sets]
+        assert all(len(np.intersect1d(heads[k], heads[k + 1])) for k in range(0, len(sets), 2))
+
+
 def test_jaccard_forest():
     rng = np.random.default_rng(3)
     sets = []
