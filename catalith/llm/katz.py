@@ -1,4 +1,4 @@
-"""Operator 3: language-model scores by Katz back-off over bigrams.
+"""Operator 3: language-model scores by Katz back-off over trigrams (order three, the query) or bigrams (order two).
 
 Counts come from all training texts. Discounts are Good-Turing for counts up to `TURING`; the mass they free is
 handed to unseen events by back-off weights that make every history sum to one exactly:
@@ -7,12 +7,17 @@ handed to unseen events by back-off weights that make every history sum to one e
              = a(v) P(w),  a(v) = (1 - sum P(seen | v)) / (1 - sum P(seen))   otherwise
     P(w)     = d(c(w)) c(w) / N;  all unknown words share the mass that is left.
 
+Order three backs off to the above, with discounts of its own: P(w | u, v) = d(c(u, v, w)) c(u, v, w) / c(u, v) if the trigram
+was seen, a(u, v) P(w | v) if only (u, v) was, and P(w | v) otherwise. A text's first token has one history, its beginning.
+
 How it is spread. Texts become blocks: a list of the block's words and the tokens as places in that list. Words are
 counted from the block lists and get dense numbers, and each block is told its words' numbers and counts. Blocks then
 ask for their distinct bigrams, dealt by history (frequent histories by bigram, so that no task gets a whole one); each
 bucket of the bigram table adds up its counts, stores its part of the table, answers every block, and adds
 up per history what the back-off weights need. Blocks evaluate their tokens with the answers: bigram, else
-unigram, and the back-off weights of the histories in between join in last. Nothing grows on the driver but sums; every table is stored in the shared folder, by bucket.
+unigram, and the back-off weights of the histories in between join in last. For order three the blocks are told
+the weights of their words instead, ask for their distinct trigrams, dealt by history, and get each one's logarithm: a bucket holds
+whole histories, first adds up for the discounts, then answers. Nothing grows on the driver but sums; every table is stored in the shared folder, by bucket.
 
 Defined cases. Null text is empty: only the end token is scored. Null ids train or are held out like the empty text
 id. Repeated rows count and are scored each. Without training texts every token has probability one. A class of
@@ -42,6 +47,7 @@ END = b""
 BEGIN = 2**31 - 1
 
 _BLOCK = "block long, ids array<long>, held array<boolean>, lens array<int>, words array<binary>, counts array<int>, stream binary"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bigrams long"
 _PART = "block long, kind int, bucket int, a binary, b binary, ids array<long>, held array<boolean>, lens array<int>"
 
 
@@ -200,8 +206,130 @@ def _of_parts(t: pa.Table) -> tuple[dict, Block]:
     return {"rows": rows, **whole}, Block(np.array(whole["lens"]), np.array(whole["held"]), whole["a"], number, count)
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+def _weights(told: DataFrame, history: DataFrame) -> DataFrame:
+    """Per block, the weights and given mass of its words as histories, by place (kind 3)."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, a in zip(batch["block"].to_pylist(), batch["a"], strict=True):
+                number = _unpack(a.as_py(), np.int32).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), block)), pa.array(np.arange(len(number))), pa.array(number)], names=["block", "pos", "number"])
+
+    def gather(t: pa.Table) -> pa.Table:
+        pos = t["pos"].to_numpy()
+        weight, given = np.empty(len(pos)), np.empty(len(pos))
+        weight[pos], given[pos] = t["weight"].to_numpy(), t["given"].to_numpy()
+        return _part(int(t["block"][0].as_py()), 3, 0, _pack(weight), _pack(given))
+
+    rows = told.select("block", "a").mapInArrow(places, "block long, pos long, number long").join(history, "number", "left")
+    rows = rows.select("block", "pos", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("given", F.lit(0.0)).alias("given"))
+    return materialise(rows.groupBy("block").applyInArrow(gather, _PART), "lm-weights")
+
+
+class Trigrams:
+    """A block's tokens under the bigram model, and its distinct trigrams whose history was seen, dealt by history."""
+
+    def __init__(self, t: pa.Table, model: Unigrams, d: np.ndarray, start: tuple[float, float], buckets: int, hot: float) -> None:
+        self.whole, block = _of_parts(t)
+        self.block = block
+        places, cut = block.dealt(buckets, hot)
+        seen, weight, given = np.zeros(len(block.keys), dtype=np.int64), None, None
+        for row in self.whole["rows"]:
+            if row["kind"] == 2:
+                seen[places[cut[row["bucket"]] : cut[row["bucket"] + 1]]] = _unpack(row["a"], np.uint32)
+            elif row["kind"] == 3:
+                weight, given = _unpack(row["a"], np.float64), _unpack(row["b"], np.float64)
+        self.c = block.count[block.w]
+        self.n = n = np.where(block.pair >= 0, seen[block.pair], 0) if len(seen) else np.zeros(len(block.w), dtype=np.int64)
+        first, v = block.v < 0, np.maximum(block.v, 0)
+        base = np.where(first, start[0], np.log10(np.maximum(block.count[v], 1)) + given[v])
+        lost = np.where(first, start[1], np.where(block.number[v] >= 0, weight[v], 0.0))
+        self.logs = np.where(n > 0, np.log10(np.maximum(d[np.minimum(n, TURING + 1)] * n, 1e-300)) - base, lost + np.log10(model(self.c)))
+        self.at = np.flatnonzero(~first & (np.concatenate([[0], n[:-1]]) > 0))
+        pair = block.pair[self.at - 1]
+        keys, at, self.of = np.unique(pair << 32 | block.w[self.at].astype(np.int64), return_index=True, return_inverse=True)
+        train = np.repeat(~np.array(self.whole["held"], dtype=bool), block.lens)[self.at]
+        self.uses = np.bincount(self.of[train], minlength=len(keys))
+        pair, w = pair[at], block.w[self.at][at]
+        self.uv = block.pair_v[pair].astype(np.uint64) << np.uint64(32) | block.pair_w[pair].astype(np.uint64)
+        self.word, self.lower = block.number[w], self.logs[self.at][at]
+        h = (self.uv ^ (self.uv >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        self.places = np.argsort(bucket, kind="stable")
+        self.cut = np.searchsorted(bucket[self.places], np.arange(buckets + 1))
+
+
+def _add_up(t: pa.Table) -> tuple:
+    """A bucket's asked trigrams: which distinct trigram each is, and those in order of history with counts and log P(w | v)."""
+    uv, w, n, lower = (np.concatenate([_unpack(x, kind) for x in t[c].to_pylist()]) for c, kind in (("uv", np.uint64), ("w", np.int32), ("n", np.uint32), ("lower", np.float64)))
+    by = np.lexsort((w, uv))
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (uv[by][1:] != uv[by][:-1]) | (w[by][1:] != w[by][:-1])
+    of = np.empty(len(by), dtype=np.int64)
+    of[by] = np.cumsum(new) - 1
+    return of, uv[by][new], np.bincount(of, weights=n).astype(np.int64), lower[by][new], lower
+
+
+def _trigrams(parts: DataFrame, model: Unigrams, d: np.ndarray, start: tuple[float, float], buckets: int, hot: float) -> DataFrame:
+    def ask(t: pa.Table) -> pa.Table:
+        own = Trigrams(t, model, d, start, buckets, hot)
+        out = {c: [] for c in ("bucket", "block", "uv", "w", "n", "lower")}
+        for k in np.flatnonzero(np.diff(own.cut)):
+            at = own.places[own.cut[k] : own.cut[k + 1]]
+            out["bucket"].append(k)
+            out["block"].append(own.whole["block"])
+            for c, x, wide in (("uv", own.uv, np.uint64), ("w", own.word, np.int32), ("n", own.uses, np.uint32), ("lower", own.lower, np.float64)):
+                out[c].append(_pack(x[at].astype(wide)))
+        types = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+        return pa.table([pa.array(x, ty) for x, ty in zip(out.values(), types, strict=True)], names=list(out))
+
+    asked = materialise(parts.groupBy("block").applyInArrow(ask, "bucket int, block long, uv binary, w binary, n binary, lower binary"), "lm-trigrams")
+
+    def count(t: pa.Table) -> pa.Table:
+        total = _add_up(t)[2]
+        tally = np.bincount(np.minimum(total, TURING + 2), minlength=TURING + 3)[1 : TURING + 2]
+        return pa.table([pa.array([tally.tolist()], pa.list_(pa.int64()))], names=["tally"])
+
+    tally = asked.groupBy("bucket").applyInArrow(count, "tally array<long>")
+    tally = tally.agg(*[F.coalesce(F.sum(F.col("tally")[r]), F.lit(0)) for r in range(TURING + 1)]).first()
+    d3 = turing([int(x) for x in tally])
+
+    def answer(t: pa.Table) -> pa.Table:
+        of, uv, total, lower, each = _add_up(t)
+        starts = np.flatnonzero(np.concatenate([[True], uv[1:] != uv[:-1]]))
+        history = np.cumsum(np.concatenate([[0], uv[1:] != uv[:-1]]))
+        kept = d3[np.minimum(total, TURING + 1)] * total
+        spent, count, known = (np.add.reduceat(x, starts) for x in (kept, total.astype(float), np.where(total > 0, 10.0**lower, 0.0)))
+        base = np.where(spent > count - 1e-6, count + 0.5, count)
+        weight = np.log10((1 - spent / base) / np.maximum(1 - known, 1e-12))
+        # words not in training share a number, but not a place: an unseen trigram's own lower order counts
+        logs = np.where(total[of] > 0, np.log10(np.maximum(kept, 1e-300))[of] - np.log10(base)[history][of], weight[history][of] + each)
+        size = [len(_unpack(x, np.int32)) for x in t["w"].to_pylist()]
+        rows = [_part(b, 4, int(t["bucket"][0].as_py()), _pack(x), None) for b, x in zip(t["block"].to_pylist(), np.split(logs, np.cumsum(size)[:-1]), strict=True)]
+        return pa.concat_tables(rows)
+
+    told = materialise(asked.groupBy("bucket").applyInArrow(answer, _PART), "lm-trigram-answers")
+
+    def evaluate(t: pa.Table) -> pa.Table:
+        own = Trigrams(t, model, d, start, buckets, hot)
+        logs, block = np.zeros(len(own.uv)), own.block
+        for row in own.whole["rows"]:
+            if row["kind"] == 4:
+                logs[own.places[own.cut[row["bucket"]] : own.cut[row["bucket"] + 1]]] = _unpack(row["a"], np.float64)
+        own.logs[own.at] = logs[own.of]
+        add = lambda x: np.add.reduceat(x, block.starts)
+        plain = add(np.log10(own.c + 1.0)) - block.lens * np.log10(model.total + model.kinds + 1.0)
+        made = [own.whole["ids"], own.whole["held"], block.lens.astype(np.int64), add((own.c > 0).astype(np.int64)), np.full(len(block.lens), model.total), plain, add(own.logs), add((own.n > 0).astype(np.int64))]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+        return pa.table([pa.array(x, ty) for x, ty in zip(made, types, strict=True)], names=_SCORES.replace(",", "").split()[::2])
+
+    return parts.union(told).groupBy("block").applyInArrow(evaluate, _SCORES)
+
+
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_tokens: int = BUCKET_TOKENS, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bigrams for every row."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     made = blocks(docs, block_bytes)
     uni = unigrams(made)
@@ -288,14 +416,18 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_tokens: int =
 
     answers = grams.where("kind = 1").select("block", F.lit(2).alias("kind"), "bucket", "a", F.lit(None).cast("binary").alias("b"), *none)
 
+    if order == 3:
+        parts = whole.union(told).union(answers).union(_weights(told, history).select("block", "kind", "bucket", "a", "b", *none))
+        return _trigrams(parts, model, d, start, buckets, hot)
+
     def evaluate(t: pa.Table) -> pa.Table:
         """A block's texts (kind 0), scored but for what depends on histories, and those by text (kind 1)."""
         whole, block = _of_parts(t)
-        order, cut = block.dealt(buckets, hot)
+        places, cut = block.dealt(buckets, hot)
         c_pair = np.zeros(len(block.keys), dtype=np.int64)
         for row in whole["rows"]:
             if row["kind"] == 2:
-                c_pair[order[cut[row["bucket"]] : cut[row["bucket"] + 1]]] = _unpack(row["a"], np.uint32)
+                c_pair[places[cut[row["bucket"]] : cut[row["bucket"] + 1]]] = _unpack(row["a"], np.uint32)
         c = block.count[block.w]
         n = np.where(block.pair >= 0, c_pair[block.pair], 0) if len(c_pair) else np.zeros(len(block.w), dtype=np.int64)
         first, v = block.v < 0, np.maximum(block.v, 0)
@@ -333,4 +465,4 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_tokens: int =
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), order=3)

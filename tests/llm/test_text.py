@@ -1,6 +1,7 @@
 """Operators 1, 2, 3, 7, 8 and 10."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -98,6 +99,62 @@ def test_katz(spark, which):
     assert {r["doc_id"]: r["held_out"] for r in got if r["doc_id"] == 2} == {2: zlib.crc32(b"2") % 7 == 2}
 
 
+def plain_trigrams(rows):
+    """Scores by definition, each order normalised over all words of training and one unknown word."""
+    tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t in rows]
+    train = [t for i, t in tokens if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    uni = collections.Counter(w for t in train for w in t)
+    model = katz.Unigrams(sum(uni.values()), len(uni), [sum(v == r for v in uni.values()) for r in range(1, 7)])
+    after, d = [None, collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)], [None]
+    for t in train:
+        s = [None, *t]
+        for k in range(1, len(s)):
+            after[1][(s[k - 1],)][s[k]] += 1
+            if k > 1:
+                after[2][(s[k - 2], s[k - 1])][s[k]] += 1
+    for n in (1, 2):
+        d.append(katz.turing([sum(c == r for f in after[n].values() for c in f.values()) for r in range(1, 7)]))
+
+    @functools.cache
+    def history(h):
+        f, n = after[len(h)][h], len(h)
+        count, spent = sum(f.values()), sum(d[n][min(c, 6)] * c for c in f.values())
+        base = count + 0.5 if spent > count - 1e-6 else count
+        return base, (1 - spent / base) / max(1 - sum(given(w, h[1:]) for w in f), model.unknown if n == 1 else 1e-12)
+
+    @functools.cache
+    def given(w, h):
+        if not h:
+            return float(model(np.array([uni[w]]))[0])
+        if h not in after[len(h)]:
+            return given(w, h[1:])
+        base, weight = history(h)
+        c = after[len(h)][h].get(w, 0)
+        return d[len(h)][min(c, 6)] * c / base if c else weight * given(w, h[1:])
+
+    out = [sum(math.log10(given(w, tuple(([None, *t])[max(0, k - 1) : k + 1]))) for k, w in enumerate(t)) for _, t in tokens]
+    sums = [sum(given(w, h) for w in uni) + given(b"not a word", h) for h in list(after[2])[:5]]
+    return out, sums
+
+
+@pytest.mark.parametrize("which", ["awkward", "driver"])
+def test_katz_trigrams(spark, which):
+    docs = awkward(spark) if which == "awkward" else spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want, sums = plain_trigrams(rows)
+    assert all(abs(x - 1) < 1e-9 for x in sums)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = katz.score(docs, block_bytes=20_000, bucket_tokens=3000, order=3).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    mine = sorted(((r["doc_id"], r["score"]) for r in got), key=key)
+    for a, b in zip(mine, sorted(zip([i for i, _ in rows], want, strict=True), key=key), strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-6
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    if which == "awkward":
+        assert katz.score(empty(spark), order=3).count() == 0
+        assert katz.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), order=3).first()["score"] == 0.0
+
+
 def test_katz_edges(spark):
     assert katz.score(empty(spark)).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
