@@ -1,15 +1,23 @@
-"""From nodes to HTML."""
+"""A walk over the boxes of a rich text that gives its HTML."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import accumulate
 
-from .reader import Style
+from .formatting import Format
+from .layout import Box, RowShape
 
 # fixed values: class names and texts of the HTML output
 LINK, IMAGE, TABLE, IMAGE_CELL, TEXT_CELL = "tis-cross-ref", "tis-inline-image", "tis-layout-table", "tis-img-cell", "tis-text-cell"
 ALT = "Technical illustration"
-_BLANK = " \t\n\r\v\f\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_ENTITIES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;"})
+_BREAKS = {"line": "<br>", "tab": "&emsp;"}
+_TWIPS_A_POINT = 20
+
+# what the walk yields: (kind, HTML or text, format); kinds are html, break, text, and end (of a paragraph)
+Part = tuple[str, str, Format]
 
 
 def tenths(x: float) -> str:
@@ -18,160 +26,121 @@ def tenths(x: float) -> str:
     return str(n // 10) if n % 10 == 0 else repr(n / 10)
 
 
-def points(twips: int) -> str:
-    return tenths(twips / 20)
+def style(lengths: dict[str, int]) -> str:
+    """A style attribute of lengths in points, if there are any."""
+    shown = [f"{name}:{tenths(x / _TWIPS_A_POINT)}pt" for name, x in lengths.items()]
+    return f' style="{";".join(shown)}"' if shown else ""
+
+
+def paragraph_style(f: Format) -> str:
+    lengths = {"margin-left": f.left, "margin-right": f.right, "text-indent": f.first, "margin-top": f.before, "margin-bottom": f.after}
+    return style({name: x for name, x in lengths.items() if x > 0 or x and name == "text-indent"})
+
+
+def table_style(shape: RowShape | None) -> str:
+    if shape is None:
+        return ""
+    lengths = {"margin-left": shape.left, "width": shape.edges[-1] - shape.left if shape.edges else 0}
+    return style({name: x for name, x in lengths.items() if x > 0})
 
 
-def shares(edges: tuple[int, ...], left: int) -> list[str]:
-    """Column widths in per cent, from right edges."""
-    widths, at = [], left
-    for edge in edges:
-        widths.append(max(0, edge - at))
-        at = edge
+def column_shares(shape: RowShape) -> list[str]:
+    """Column widths in per cent."""
+    widths = [max(0, right - left) for left, right in zip((shape.left, *shape.edges), shape.edges, strict=False)]
     total = sum(widths)
-    return [tenths(math.floor(w / total * 1000 + 0.5) / 10) for w in widths] if total > 0 else []
-
-
-def escape(text: str) -> str:
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        text = text.replace(char, entity)
-    return text
-
-
-def style_attribute(**lengths: int | None) -> str:
-    found = [f"{name.replace('_', '-')}:{points(x)}pt" for name, x in lengths.items() if x is not None]
-    return f' style="{";".join(found)}"' if found else ""
-
-
-def _above(x: int) -> int | None:
-    return x if x > 0 else None
-
-
-def cell_class(nodes: list[tuple], begin: int) -> str | None:
-    """What a cell holds, if only pictures or only text."""
-    image = text = False
-    for node in nodes[begin + 1 :]:
-        if node[0] in ("/td", "/tr"):
-            break
-        image |= node[0] == "img"
-        text |= node[0] == "text" and bool(node[1].strip(_BLANK))
-    return None if image == text else IMAGE_CELL if image else TEXT_CELL
-
-
-class Writer:
-    def __init__(self, nodes: list[tuple], image_base: str) -> None:
-        self.nodes, self.image_base = nodes, image_base
-        self.out: list[str] = []
-        self.paragraph = self.table = self.row = self.cell = self.link = False
-        self.links = self.column = 0
-        self.tags: list[str] = []
-        self.widths: list[str] = []
-
-    def write(self) -> str:
-        for k, node in enumerate(self.nodes):
-            match node:
-                case ("p", in_table, *lengths):
-                    if self.table and not in_table:
-                        self.end_table()
-                    self.begin_paragraph(*lengths)
-                case ("text", text, style):
-                    self.text(text, style)
-                case ("br",) | ("tab",):
-                    self.end_link()
-                    self.out.append("<br>" if node[0] == "br" else "&emsp;")
-                case ("img", path):
-                    self.end_paragraph()
-                    self.out.append(f'<img src="{self.image_base}/{path}" alt="{ALT}" class="{IMAGE}" loading="lazy" />\n')
-                case ("tr", edges, left):
-                    self.begin_row(edges, left)
-                case ("td",):
-                    self.begin_cell(cell_class(self.nodes, k))
-                case ("/td",):
-                    self.end_paragraph()
-                    self.end("cell", "</td>")
-                case ("/tr",):
-                    self.end_paragraph()
-                    self.end("cell", "</td>")
-                    self.end("row", "</tr>\n")
-        self.end_paragraph()
-        self.end_table()
-        return "".join(self.out)
-
-    def end(self, what: str, tag: str) -> None:
-        if getattr(self, what):
-            self.out.append(tag)
-            setattr(self, what, False)
-
-    def end_tags(self) -> None:
-        self.out += [f"</{t}>" for t in reversed(self.tags)]
-        self.tags = []
-
-    def end_link(self) -> None:
-        self.end("link", "</a>")
-
-    def end_paragraph(self) -> None:
-        """Text that follows a picture stands in no paragraph; then nothing is open here to be closed."""
-        if self.paragraph:
-            self.end_tags()
-            self.end_link()
-            self.end("paragraph", "</p>\n")
-
-    def end_table(self) -> None:
-        self.end_paragraph()
-        self.end("cell", "</td>")
-        self.end("row", "</tr>\n")
-        self.end("table", "</tbody>\n</table>\n")
-
-    def begin_paragraph(self, left: int, right: int, first: int, before: int, after: int) -> None:
-        self.end_paragraph()
-        self.out.append("<p" + style_attribute(margin_left=_above(left), margin_right=_above(right), text_indent=first or None, margin_top=_above(before), margin_bottom=_above(after)) + ">")
-        self.paragraph = True
-
-    def begin_table(self, attribute: str = "") -> None:
-        if not self.table:
-            self.out.append(f'<table class="{TABLE}"{attribute}>\n<tbody>\n')
-            self.table = True
-
-    def begin_row(self, edges: tuple[int, ...], left: int) -> None:
-        self.end_paragraph()
-        self.begin_table(style_attribute(margin_left=_above(left), width=_above(edges[-1] - left) if edges else None))
-        self.widths, self.column = shares(edges, left), 0
-        self.out.append("<tr>")
-        self.row = True
-
-    def begin_cell(self, kind: str | None) -> None:
-        self.end_paragraph()
-        if not self.row:
-            self.begin_table()
-            self.out.append("<tr>")
-            self.row = True
-        attributes = f' class="{kind}"' if kind else ""
-        if self.column < len(self.widths):
-            attributes += f' style="width:{self.widths[self.column]}%"'
-        self.column += 1
-        self.out.append(f"<td{attributes}>")
-        self.cell = True
-
-    def text(self, text: str, style: Style) -> None:
-        """Struck text is a link; neighbouring runs of it are one. Its inline tags close at once, others stay open."""
-        self.end_tags()
-        if not style.link:
-            self.end_link()
-        elif not self.link:
-            self.links += 1
-            self.link = True
-            self.out.append(f'<a class="{LINK}" data-hotspot="{self.links}" href="#">')
-        self.tags = [t for t, on in (("strong", style.bold), ("em", style.italic), ("u", style.underline)) if on]
-        self.out += [f"<{t}>" for t in self.tags]
-        shown = escape(text)
-        if style.link or not style.raised:
-            self.out.append(shown)
-        else:
-            tag = "sup" if style.raised > 0 else "sub"
-            self.out.append(f"<{tag}>{shown}</{tag}>")
-        if style.link:
-            self.end_tags()
-
-
-def write_html(nodes: list[tuple], image_base: str) -> str:
-    return Writer(nodes, image_base).write()
+    return [tenths(math.floor(w * 1000 / total + 0.5) / 10) for w in widths] if total else []
+
+
+def cell_attributes(holds: frozenset[str], share: str | None) -> str:
+    kind = {frozenset({"picture"}): IMAGE_CELL, frozenset({"text"}): TEXT_CELL}.get(holds)
+    return (f' class="{kind}"' if kind else "") + (f' style="width:{share}%"' if share is not None else "")
+
+
+def walk(page: Box, image_base: str) -> Iterator[Part]:
+    shares: Iterator[str] = iter(())  # of the columns to come; a row without a shape goes on with what is left
+
+    def html(text: str) -> Part:
+        return "html", text, Format()
+
+    def visit(box: Box) -> Iterator[Part]:
+        nonlocal shares
+        end = ""
+        match box.kind:
+            case "table":
+                yield html(f'<table class="{TABLE}"{table_style(box.value)}>\n<tbody>\n')
+                end = "</tbody>\n</table>\n"
+            case "row":
+                if box.value is not None:
+                    shares = iter(column_shares(box.value))
+                yield html("<tr>")
+                end = "</tr>\n"
+            case "cell":
+                yield html(f"<td{cell_attributes(box.value, next(shares, None))}>")
+                end = "</td>"
+            case "paragraph":
+                yield html(f"<p{paragraph_style(box.format)}>")
+        for x in box.children:
+            if isinstance(x, Box):
+                yield from visit(x)
+            elif x.kind == "picture":
+                yield html(f'<img src="{image_base}/{x.value}" alt="{ALT}" class="{IMAGE}" loading="lazy" />\n')
+            elif x.kind == "text":
+                yield "text", x.value, x.format
+            else:
+                yield "break", _BREAKS[x.kind], x.format
+        if box.kind == "paragraph":
+            yield "end", "</p>\n", Format()
+        elif end and not box.left_open:
+            yield html(end)
+
+    return visit(page)
+
+
+def _ends_link(part: Part) -> bool:
+    kind, _, f = part
+    return kind in ("break", "end") or kind == "text" and not f.struck
+
+
+def write_html(page: Box, image_base: str) -> str:
+    """Struck texts between two things that end a link are one link, numbered by first appearance.
+
+    The tags of a plain text end where the next text or the end of its paragraph comes, those of a struck one at once.
+    After a picture, text stands in no paragraph: what is open there is ended by what comes next, or not at all."""
+    parts = list(walk(page, image_base))
+    stretch = accumulate(map(_ends_link, parts))
+    numbers: dict[int, int] = {}  # of links by the stretch they are in
+    out, ends = [], ""
+    for part, k in zip(parts, stretch, strict=True):
+        kind, text, f = part
+        if kind in ("text", "end"):
+            out.append(ends)
+            ends = ""
+        if _ends_link(part) and k - 1 in numbers:
+            out.append("</a>")
+        if kind != "text":
+            out.append(text)
+            continue
+        if f.struck and k not in numbers:
+            numbers[k] = len(numbers) + 1
+            out.append(f'<a class="{LINK}" data-hotspot="{numbers[k]}" href="#">')
+        tags = [tag for tag, on in (("strong", f.bold), ("em", f.italic), ("u", f.underline)) if on]
+        shown = text.translate(_ENTITIES)
+        if f.raised and not f.struck:
+            tag = "sup" if f.raised > 0 else "sub"
+            shown = f"<{tag}>{shown}</{tag}>"
+        out += [*(f"<{tag}>" for tag in tags), shown]
+        ends = "".join(f"</{tag}>" for tag in reversed(tags))
+        if f.struck:
+            out.append(ends)
+            ends = ""
+    return "".join(out)
+
+
+def link_texts(page: Box) -> list[str]:
+    """The shown text of every link, in order of its number."""
+    parts = list(walk(page, ""))
+    found: dict[int, str] = {}
+    for (kind, text, f), k in zip(parts, accumulate(map(_ends_link, parts)), strict=True):
+        if kind == "text" and f.struck:
+            found[k] = found.get(k, "") + text
+    return list(found.values())
