@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and all runs in this one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="catalith-")
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -56,24 +59,46 @@ def materialise(df: DataFrame, what: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, df_or_path: str) -> None:
-    """Remove one scratch folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df_or_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def written() -> list[str]:
-    """The scratch folders written so far and not yet removed."""
+    """The scratch folders written so far and not yet removed, oldest first."""
     return list(_written)
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Remove scratch folders (all by default). Call it once the results that read them are stored."""
-    for path in written() if paths is None else paths:
-        if path in _written:
-            _written.remove(path)
-            delete(spark, path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for text in written() if paths is None else paths:
+        if text in _written:
+            _written.remove(text)
+            path = jvm.org.apache.hadoop.fs.Path(text)
+            path.getFileSystem(conf).delete(path, True)
+
+
+class Scratch:
+    """What is written between the beginning and the end of a `with` block; `release` removes it, but for what is kept."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self.before = set(_written)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.paths = [x for x in _written if x not in self.before]
+
+    def release(self) -> None:
+        release(self.spark, self.paths)
+
+
+def stored(spark: SparkSession, what: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of `build` as a stored table, all other tables that it wrote being removed. For results that are small
+    beside the tables they come from."""
+    with Scratch(spark) as left:
+        out = build()
+    out = materialise(out, what)
+    left.release()
+    return out
 
 
 def crc_mod(col: Column, n: int) -> Column:

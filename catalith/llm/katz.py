@@ -1,28 +1,32 @@
-"""Operator 3: language-model scores by Katz back-off over trigrams (order three, the query) or bigrams (order two).
+"""Operator 3: language-model scores by Katz back-off, over trigrams unless told otherwise.
 
-Counts come from all training texts. Discounts are Good-Turing for counts up to `TURING`; the mass they free is
-handed to unseen events by back-off weights that make every history sum to one exactly:
+Counts come from all training texts. Discounts are Good-Turing for counts up to `TURING`, at every order by its own counts
+of counts; the mass they free is handed to unseen events by back-off weights that make every history sum to one exactly. With
+h the history and h' the history without its first word:
 
-    P(w | v) = d(c(v, w)) c(v, w) / c(v)                       if the bigram was seen
-             = a(v) P(w),  a(v) = (1 - sum P(seen | v)) / (1 - sum P(seen))   otherwise
+    P(w | h) = d(c(h, w)) c(h, w) / c(h)                         if (h, w) was seen
+             = a(h) P(w | h'),  a(h) = (1 - sum P(seen | h)) / (1 - sum P(seen | h'))   if only h was seen
+             = P(w | h')                                         otherwise
     P(w)     = d(c(w)) c(w) / N;  all unknown words share the mass that is left.
 
-Order three backs off to the above, with discounts of its own: P(w | u, v) = d(c(u, v, w)) c(u, v, w) / c(u, v) if the trigram
-was seen, a(u, v) P(w | v) if only (u, v) was, and P(w | v) otherwise. A text's first token has one history, its beginning.
+A text's beginning stands before its first token as a word that is never predicted.
 
 How it is spread. Texts become blocks: a list of the block's words and the tokens as places in that list. Words are
-counted from the block lists and get dense numbers, and each block is told its words' numbers and counts. Blocks then
-ask for their distinct bigrams, dealt by history (frequent histories by bigram, so that no task gets a whole one); each
-bucket of the bigram table adds up its counts, stores its part of the table, answers every block, and adds
-up per history what the back-off weights need. Blocks evaluate their tokens with the answers: bigram, else
-unigram, and the back-off weights of the histories in between join in last. For order three the blocks are told
-the weights of their words instead, ask for their distinct trigrams, dealt by history, and get each one's logarithm: a bucket holds
-whole histories, first adds up for the discounts, then answers. Nothing grows on the driver but sums; every table is stored in the shared folder, by bucket.
+counted from the block lists and get dense numbers, and each block is told its words' numbers and counts. Then, order by
+order, blocks ask for their distinct n-grams whose history was seen. Asked n-grams are dealt by a hash of the history over
+buckets, those of frequent histories by the whole n-gram, so that no task gets a whole one. A bucket adds up the training
+counts and stores, for each block, the counts of what it asked and, for histories of its unseen n-grams, how their counts are spread: that
+table (`lm-grams-n`) is all that the next order and the scoring read. What buckets know of a frequent history is added up in a table by history
+and joined back to the blocks that hold it. Blocks evaluate their tokens recursively, lowest order first. Nothing
+reaches the driver but sums; every table is stored in the shared folder, and removed once it has been read for the last time.
+
+An exchange sends one piece per block and bucket; blocks and buckets each number with the input, so pieces shrink as it grows. Up to
+about a terabyte of text they hold hundreds of n-grams; far beyond, larger blocks (`block_bytes`) keep them so.
 
 Defined cases. Null text is empty: only the end token is scored. Null ids train or are held out like the empty text
-id. Repeated rows count and are scored each. Without training texts every token has probability one. A class of
+id. Repeated rows count and are scored each. Without training texts every token has probability one. Columns other than doc_id and text are not read. A class of
 counts for which Good-Turing gives no discount strictly between 0 and 1 is discounted by half a count instead; a
-history that keeps no mass that way, or a corpus, gives up half a count. Word numbers have 31 bits; more distinct
+history of which nothing was seen TURING times or less (which thus frees no mass) gives up half a count, and so does a corpus. Word numbers have 32 bits; more distinct
 words raise an error.
 """
 
@@ -37,23 +41,33 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialise, raw_texts, table
+from .common import Scratch, crc_mod, join_hot, map_arrow, materialise, raw_texts, stored, table
 
+ORDER = 3
 TURING = 5
 BLOCK_BYTES = 8 << 20
 BUCKET_TOKENS = 2_000_000
 HELD_OUT = (7, 2)
 END = b""
-BEGIN = 2**31 - 1
+UNKNOWN, BEGIN, FIRST = 0, 1, 2  # codes of words: those in training follow by number
+MAX_WORDS = 2**32 - FIRST
 
 _BLOCK = "block long, ids array<long>, held array<boolean>, lens array<int>, words array<binary>, counts array<int>, stream binary"
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bigrams long"
-_PART = "block long, kind int, bucket int, a binary, b binary, ids array<long>, held array<boolean>, lens array<int>"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bigrams long, n_longest long"
+# what a block is told. kind 0: itself; 1: its words' numbers and counts; 2: by order and bucket, counts (a) and spreads (b);
+# 3: by order, the spreads of its frequent histories (b)
+_PART = "block long, kind int, gram int, bucket int, a binary, b binary, ids array<long>, held array<boolean>, lens array<int>"
+_PART_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
+_SPREAD = TURING + 2  # followers seen 1 .. TURING times, the counts of the others, the mass of all at the order below
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """An integer array as compressed byte planes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+    """An array as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.ravel().view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
 
 
 def _unpack(raw: bytes, kind: type) -> np.ndarray:
@@ -61,6 +75,30 @@ def _unpack(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def _pack_spreads(x: np.ndarray) -> bytes | None:
+    """Rows of _SPREAD numbers, all but the last of them whole."""
+    if not len(x):
+        return None
+    whole = _pack(np.ascontiguousarray(x[:, :-1].T).astype(np.int64))
+    return len(whole).to_bytes(8, "little") + whole + _pack(np.ascontiguousarray(x[:, -1]))
+
+
+def _unpack_spreads(raw: bytes | None) -> np.ndarray:
+    if raw is None:
+        return np.empty((0, _SPREAD))
+    n = 8 + int.from_bytes(raw[:8], "little")
+    return np.column_stack([_unpack(raw[8:n], np.int64).reshape(_SPREAD - 1, -1).T, _unpack(raw[n:], np.float64)])
+
+
+def _part(block: int, kind: int, gram: int, bucket: int, a: bytes | None, b: bytes | None) -> tuple:
+    return block, kind, gram, bucket, a, b, None, None, None
+
+
+def _parts(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_PART_TYPES)
+    return pa.table([pa.array(x, t) for x, t in zip(columns, _PART_TYPES, strict=True)], names=_names(_PART))
+
+
 class _Places(dict):
     """Numbers words as they come."""
 
@@ -121,6 +159,10 @@ def turing(n: list[int]) -> np.ndarray:
     return d
 
 
+def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return d[np.minimum(c, TURING + 1)] * c
+
+
 class Unigrams:
     """P(w) as a function of c(w)."""
 
@@ -131,7 +173,7 @@ class Unigrams:
         self.scale = (1 - self.unknown) / kept if total else 0.0
 
     def __call__(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, self.d[np.minimum(c, TURING + 1)] * c * self.scale, self.unknown)
+        return np.where(c > 0, discounted(c, self.d) * self.scale, self.unknown)
 
 
 def _sums_of_counts(c) -> list:
@@ -150,319 +192,305 @@ def unigrams(made: DataFrame) -> DataFrame:
     return materialise(numbered.select("word", "c", "number", "bucket"), "lm-unigrams", ["bucket"])
 
 
-def _gather(rows: DataFrame) -> DataFrame:
-    """Per block, the numbers and counts of (block, pos, number, c) rows as arrays by position."""
+def _told(made: DataFrame, uni: DataFrame) -> DataFrame:
+    """Per block, the codes and counts of its words by place (kind 1)."""
 
-    def run(table: pa.Table) -> pa.Table:
-        pos = table["pos"].to_numpy()
-        number, count = np.empty(len(pos), dtype=np.int32), np.empty(len(pos), dtype=np.int64)
-        number[pos], count[pos] = table["number"].to_numpy(), table["c"].to_numpy()
-        return _part(int(table["block"][0].as_py()), 1, 0, _pack(number), _pack(count))
+    def gather(t: pa.Table) -> pa.Table:
+        pos = t["pos"].to_numpy()
+        code, count = np.empty(len(pos), dtype=np.uint32), np.empty(len(pos), dtype=np.int64)
+        code[pos], count[pos] = t["code"].to_numpy(), t["c"].to_numpy()
+        return _parts([_part(int(t["block"][0].as_py()), 1, 0, 0, _pack(code), _pack(count))])
 
-    return rows.groupBy("block").applyInArrow(run, _PART)
+    asked = made.select("block", F.posexplode("words").alias("pos", "word"))
+    known = uni.select("word", (F.col("number") + FIRST).alias("code"), "c").hint("shuffle_hash")
+    told = asked.join(known, "word", "left").select("block", "pos", F.coalesce("code", F.lit(UNKNOWN)).alias("code"), F.coalesce("c", F.lit(0)).alias("c"))
+    return materialise(told.groupBy("block").applyInArrow(gather, _PART), "lm-told")
+
+
+class Grams:
+    """The distinct n-grams of one order that a block asks for, sorted by their words, and what it is told about them.
+
+    `at` are the tokens whose history was seen, `of` their n-grams; `ctx` is an n-gram's history, numbered within the block."""
+
+    def __init__(self, ctx_of_token: np.ndarray, ctx_words: list[np.ndarray], ctx_count: np.ndarray, code: np.ndarray, train: np.ndarray, lower: np.ndarray) -> None:
+        """By token: its history (-1: not seen), code, whether it is in training, and the count of its n-gram one order lower.
+        By history: its words and its count."""
+        self.at = np.flatnonzero(ctx_of_token >= 0)
+        key = ctx_of_token[self.at].astype(np.uint64) << np.uint64(32) | code[self.at].astype(np.uint64)
+        keys, first, self.of = np.unique(key, return_index=True, return_inverse=True)
+        self.ctx = (keys >> np.uint64(32)).astype(np.int64)
+        word = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.words = [*(w[self.ctx] for w in ctx_words), word]
+        self.lower = lower[self.at][first]
+        self.uses = np.bincount(self.of[train[self.at]], minlength=len(keys))
+        self.ctx_words, self.ctx_count = ctx_words, ctx_count
+        self.count = np.zeros(len(keys), dtype=np.int64)
+        self.spread = np.zeros((len(ctx_count), _SPREAD))
+        self.spared = np.zeros(len(ctx_count), dtype=bool)
+
+    def deal(self, buckets: int, hot: float) -> None:
+        """Put the n-grams in order of (bucket, is its history frequent)."""
+        h = np.zeros(len(self.ctx), dtype=np.uint64)
+        for w in self.words[:-1]:
+            h = (h + w + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        often = self.ctx_count[self.ctx] > hot
+        h = np.where(often, (h + self.words[-1]) * np.uint64(0xBF58476D1CE4E5B9), h)
+        piece = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) * 2 + often
+        self.order = np.argsort(piece, kind="stable")
+        self.cut = np.searchsorted(piece[self.order], np.arange(2 * buckets + 1))
+        self.often = np.unique(self.ctx[often])
+
+    def pieces(self) -> Iterator[tuple[int, np.ndarray]]:
+        for k in np.flatnonzero(np.diff(self.cut)):
+            yield int(k), self.order[self.cut[k] : self.cut[k + 1]]
+
+    def hear(self, bucket: int, a: bytes, b: bytes | None) -> None:
+        """A bucket's answer: for each n-gram of a piece, twice its count and whether its history gave up nothing, and the
+        spreads of the histories of those that were not seen."""
+        own = self.order[self.cut[bucket] : self.cut[bucket + 1]]
+        told = _unpack(a, np.uint64).astype(np.int64)
+        self.count[own] = told >> 1
+        if bucket % 2 == 0:
+            ctx = self.ctx[own]
+            self.spared[ctx[told & 1 == 1]] = True
+            self.spread[_runs(ctx[told >> 1 == 0])] = _unpack_spreads(b)
+
+    def hear_often(self, b: bytes) -> None:
+        rows = _unpack_spreads(b)
+        self.spread[self.often] = rows
+        self.spared[self.often] = ~rows[:, :TURING].any(axis=1)
+
+    def base(self) -> np.ndarray:
+        """What the counts of a history's followers are divided by."""
+        return np.maximum(self.ctx_count, 0.5) + 0.5 * self.spared  # a history that was not seen is not asked for
+
+    def logs(self, d: np.ndarray, below: np.ndarray, base_below: np.ndarray) -> np.ndarray:
+        """log10 P of the tokens `at`, given by token the logarithms and the histories' bases one order lower."""
+        base, r = self.base(), np.arange(1, TURING + 1)
+        spent = self.spread[:, :TURING] @ (d[r] * r) + self.spread[:, TURING]
+        free = np.log10(np.maximum(1 - spent / base, 1e-300))
+        c, ctx = self.count[self.of], self.ctx[self.of]
+        known = self.spread[ctx, -1] / base_below[self.at]
+        return np.where(c > 0, np.log10(np.maximum(discounted(c, d), 1e-300) / base[ctx]), free[ctx] - np.log10(np.maximum(1 - known, 1e-12)) + below[self.at])
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """The first of each run of equal values."""
+    return x[np.flatnonzero(np.diff(x, prepend=-1))]
 
 
-def _part(block: int, kind: int, bucket: int, a: bytes | None, b: bytes | None, ids: list | None = None, held: list | None = None, lens: list | None = None) -> pa.Table:
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
-    row = (block, kind, bucket, a, b, ids, held, lens)
-    return pa.table([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[c.split()[0] for c in _PART.split(", ")])
+class Block:
+    """A block's tokens, and its n-grams order by order as far as it was told."""
+
+    def __init__(self, t: pa.Table, model: Unigrams, discounts: list[np.ndarray], buckets: int, hot: float, ask: bool) -> None:
+        """With `ask`, the last level is the one to be asked for, of which nothing is known yet."""
+        rows = t.to_pylist()
+        whole = next(r for r in rows if r["kind"] == 0)
+        words = next(r for r in rows if r["kind"] == 1)
+        self.id, self.ids, self.held, self.lens = whole["block"], whole["ids"], np.array(whole["held"], dtype=bool), np.array(whole["lens"])
+        code, count = _unpack(words["a"], np.uint32), _unpack(words["b"], np.int64)
+        place = _unpack(whole["a"], np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(self.lens)[:-1]]).astype(np.int64)
+        self.code, self.c = code[place], count[place]
+        self.train = np.repeat(~self.held, self.lens)
+        first = np.zeros(len(place), dtype=bool)
+        first[self.starts] = True
+        self.logs = np.log10(model(self.c))
+        self.levels: list[Grams] = []
+        # histories of the bigrams: the block's words by code, and the beginning, as often as texts ended in training
+        alphabet, at = np.unique(np.append(code, BEGIN).astype(np.uint32), return_inverse=True)
+        ctx_words, ctx_count = [alphabet], np.zeros(len(alphabet), dtype=np.int64)
+        ctx_count[at] = np.append(count, count[0])
+        number = at[:-1][place]
+        ctx = np.where(first, at[-1], np.roll(number, 1))
+        ctx = np.where(ctx_count[ctx] > 0, ctx, -1)
+        lower, base_below = self.c, np.ones(len(place))
+        for n, d in enumerate([*discounts, None] if ask else discounts, 2):
+            level = Grams(ctx, ctx_words, ctx_count, self.code, self.train, lower)
+            level.deal(buckets, hot)
+            self.levels.append(level)
+            if d is None:
+                break
+            for r in rows:
+                if r["gram"] == n and r["kind"] == 2:
+                    level.hear(r["bucket"], r["a"], r["b"])
+                elif r["gram"] == n and r["kind"] == 3:
+                    level.hear_often(r["b"])
+            self.logs[level.at] = level.logs(d, self.logs, base_below)
+            # a seen n-gram is a history of the next order for the token after it
+            gram = np.full(len(place), -1)
+            gram[level.at] = level.of
+            lower = np.zeros(len(place), dtype=np.int64)
+            lower[level.at] = level.count[level.of]
+            base_below[level.at] = level.base()[level.ctx[level.of]]
+            ctx = np.where(first | (np.roll(lower, 1) == 0), -1, np.roll(gram, 1))
+            ctx_words, ctx_count = level.words, level.count
+
+
+_ASK = "bucket int, block long, often boolean, n long, a binary"
+
+
+def _grams(parts: DataFrame, gram: int, model: Unigrams, discounts: list[np.ndarray], buckets: int, hot: float) -> tuple[DataFrame, np.ndarray]:
+    """What blocks are told about their n-grams of `gram` words, and the discounts of that order."""
 
+    def ask(t: pa.Table) -> pa.Table:
+        """Pieces by bucket; and the block's frequent histories (n is null), which pass through some bucket as they are."""
+        own = Block(t, model, discounts, buckets, hot, ask=True)
+        level, rows = own.levels[-1], []
+        for k, at in level.pieces():
+            columns = [*(w[at] for w in level.words), level.uses[at].astype(np.uint32), level.lower[at].astype(np.uint64)]
+            rows.append((k // 2, own.id, k % 2 == 1, len(at), b"".join(len(p).to_bytes(8, "little") + p for p in map(_pack, columns))))
+        if len(level.often):
+            rows.append((own.id % buckets, own.id, True, None, np.stack([w[level.often].astype(">u4") for w in level.ctx_words], axis=1).tobytes()))
+        types = [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+        return pa.table([pa.array(x, ty) for x, ty in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=_names(_ASK))
+
+    def columns_of(raw: bytes) -> list[np.ndarray]:
+        out, at = [], 0
+        for kind in [np.uint32] * (gram + 1) + [np.uint64]:
+            n = int.from_bytes(raw[at : at + 8], "little")
+            out.append(_unpack(raw[at + 8 : at + 8 + n], kind))
+            at += 8 + n
+        return out
+
+    def below(c: np.ndarray) -> np.ndarray:
+        """The mass of words at the order below, but for the history's base."""
+        return model(c) if gram == 2 else discounted(c, discounts[-1])
 
-class Block:
-    """A block with its words' numbers (-1: not in training) and counts."""
-
-    def __init__(self, lens: np.ndarray, held: np.ndarray, stream: bytes, number: np.ndarray, count: np.ndarray) -> None:
-        self.lens, self.number, self.count = lens, number, count
-        self.w = _unpack(stream, np.int32)
-        self.starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-        self.v = np.concatenate([[-1], self.w[:-1]])
-        self.v[self.starts] = -1
-        known = (number[self.w] >= 0) & ((self.v < 0) | (number[self.v] >= 0))
-        key = ((self.v[known].astype(np.int64) + 1) << 32) | self.w[known]
-        self.keys, of = np.unique(key, return_inverse=True)
-        self.pair = np.full(len(self.w), -1)
-        self.pair[known] = of
-        train = np.repeat(~held, lens)[known]
-        self.n = np.bincount(of[train], minlength=len(self.keys))
-        v, w = (self.keys >> 32) - 1, self.keys & 0xFFFFFFFF
-        self.pair_v = np.where(v < 0, BEGIN, number[v])
-        self.pair_w, self.pair_c = number[w], count[w]
-        self.often = np.where(v < 0, np.iinfo(np.int64).max, count[v])
-
-    def dealt(self, buckets: int, hot: float) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs in order of their bucket, and where each bucket begins."""
-        h = self.pair_v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        h = np.where(self.often > hot, (h + self.pair_w.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9), h)
-        bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
-
-
-def _of_parts(t: pa.Table) -> tuple[dict, Block]:
-    rows = t.to_pylist()
-    whole = next(r for r in rows if r["kind"] == 0)
-    told = next(r for r in rows if r["kind"] == 1)
-    number, count = _unpack(told["a"], np.int32).astype(np.int64), _unpack(told["b"], np.int64)
-    return {"rows": rows, **whole}, Block(np.array(whole["lens"]), np.array(whole["held"]), whole["a"], number, count)
-
-
-def _weights(told: DataFrame, history: DataFrame) -> DataFrame:
-    """Per block, the weights and given mass of its words as histories, by place (kind 3)."""
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add_up(t: pa.Table) -> pa.Table:
+        """Answers by block (kind 2), spreads of frequent histories as far as this bucket knows (4), a tally of counts (5),
+        and the frequent histories that blocks hold (6)."""
+        bucket, out = int(t["bucket"][0].as_py()), []
+        rows = t.to_pylist()
+        tally = np.zeros(TURING + 1, dtype=np.int64)
+        for often in (False, True):
+            asked = [r for r in rows if r["often"] == often and r["n"] is not None]
+            if not asked:
+                continue
+            *words, uses, lower = (np.concatenate(x) for x in zip(*(columns_of(r["a"]) for r in asked), strict=True))
+            history, starts_of = np.zeros(len(uses), dtype=np.uint64), None
+            for k, w in enumerate(words):
+                if k == gram - 1:
+                    starts_of = history
+                _, history = np.unique(history << np.uint64(32) | w, return_inverse=True)
+                history = history.astype(np.uint64)
+            of, ctx_of = history.astype(np.int64), starts_of.astype(np.int64)
+            n = int(of.max()) + 1
+            total = np.bincount(of, weights=uses, minlength=n).astype(np.int64)
+            ctx, mass = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+            ctx[of], mass[of] = ctx_of, lower  # all who ask for an n-gram say the same of it
+            tally += np.bincount(np.minimum(total, TURING + 2), minlength=TURING + 3)[1 : TURING + 2]
+            n_ctx = int(ctx.max()) + 1
+            spread = np.zeros((n_ctx, _SPREAD))
+            for r in range(1, TURING + 1):
+                spread[:, r - 1] = np.bincount(ctx[total == r], minlength=n_ctx)
+            high = total > TURING
+            spread[:, TURING] = np.bincount(ctx[high], weights=total[high], minlength=n_ctx)
+            seen = total > 0
+            spread[:, -1] = np.bincount(ctx[seen], weights=below(mass[seen]), minlength=n_ctx)
+            spared = ~spread[:, :TURING].any(axis=1)
+            at = 0
+            for r in asked:
+                own = slice(at, at + r["n"])
+                at += r["n"]
+                told = total[of[own]] * 2 + spared[ctx_of[own]]
+                rest = None if often else _pack_spreads(spread[_runs(ctx_of[own][told < 2])])
+                out.append(_part(r["block"], 2, gram, 2 * bucket + often, _pack(told.astype(np.uint64)), rest))
+            if often:
+                where = np.empty(n_ctx, dtype=np.int64)
+                where[ctx_of] = np.arange(len(ctx_of))
+                out.append(_part(0, 4, gram, bucket, np.stack([w[where].astype(">u4") for w in words[:-1]], axis=1).tobytes(), _pack_spreads(spread)))
+        out.append(_part(0, 5, gram, bucket, tally.tobytes(), None))
+        out += [_part(r["block"], 6, gram, bucket, r["a"], None) for r in rows if r["n"] is None]
+        return _parts(out)
+
+    asked = parts.groupBy("block").applyInArrow(ask, _ASK)
+    found = materialise(asked.groupBy("bucket").applyInArrow(add_up, _PART), f"lm-grams-{gram}", ["kind"])
+
+    def tallies(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = sum(np.frombuffer(a.as_py(), dtype=np.int64) for a in batch["a"])
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in rows.tolist()], names=[f"n{r}" for r in range(TURING + 1)])
+
+    tally = map_arrow(found.where("kind = 5").select("a"), tallies, ", ".join(f"n{r} long" for r in range(TURING + 1)))
+    sums = tally.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in tally.columns]).first()
+    told = found.where("kind = 2").select(*_names(_PART)).unionByName(_often(found, gram))
+    return told, turing([int(x) for x in sums])
+
+
+def _often(found: DataFrame, gram: int) -> DataFrame:
+    """The spreads of frequent histories, added up over buckets, for each block in its order of them (kind 3)."""
+    width = 4 * (gram - 1)
+    fields = [f"s{k}" for k in range(_SPREAD)]
+
+    def histories(a: bytes) -> list[bytes]:
+        return [a[k : k + width] for k in range(0, len(a), width)]
+
+    def spreads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch["a"], batch["b"], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(histories(a.as_py())), *(pa.array(x) for x in _unpack_spreads(b.as_py()).T.copy())], names=["history", *fields])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, a in zip(batch["block"].to_pylist(), batch["a"], strict=True):
-                number = _unpack(a.as_py(), np.int32).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), block)), pa.array(np.arange(len(number))), pa.array(number)], names=["block", "pos", "number"])
+                own = histories(a.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), pa.array(range(len(own)), pa.int64()), pa.array(own, pa.binary())], names=["block", "pos", "history"])
 
     def gather(t: pa.Table) -> pa.Table:
-        pos = t["pos"].to_numpy()
-        weight, given = np.empty(len(pos)), np.empty(len(pos))
-        weight[pos], given[pos] = t["weight"].to_numpy(), t["given"].to_numpy()
-        return _part(int(t["block"][0].as_py()), 3, 0, _pack(weight), _pack(given))
-
-    rows = told.select("block", "a").mapInArrow(places, "block long, pos long, number long").join(history, "number", "left")
-    rows = rows.select("block", "pos", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("given", F.lit(0.0)).alias("given"))
-    return materialise(rows.groupBy("block").applyInArrow(gather, _PART), "lm-weights")
-
-
-class Trigrams:
-    """A block's tokens under the bigram model, and its distinct trigrams whose history was seen, dealt by history."""
-
-    def __init__(self, t: pa.Table, model: Unigrams, d: np.ndarray, start: tuple[float, float], buckets: int, hot: float) -> None:
-        self.whole, block = _of_parts(t)
-        self.block = block
-        places, cut = block.dealt(buckets, hot)
-        seen, weight, given = np.zeros(len(block.keys), dtype=np.int64), None, None
-        for row in self.whole["rows"]:
-            if row["kind"] == 2:
-                seen[places[cut[row["bucket"]] : cut[row["bucket"] + 1]]] = _unpack(row["a"], np.uint32)
-            elif row["kind"] == 3:
-                weight, given = _unpack(row["a"], np.float64), _unpack(row["b"], np.float64)
-        self.c = block.count[block.w]
-        self.n = n = np.where(block.pair >= 0, seen[block.pair], 0) if len(seen) else np.zeros(len(block.w), dtype=np.int64)
-        first, v = block.v < 0, np.maximum(block.v, 0)
-        base = np.where(first, start[0], np.log10(np.maximum(block.count[v], 1)) + given[v])
-        lost = np.where(first, start[1], np.where(block.number[v] >= 0, weight[v], 0.0))
-        self.logs = np.where(n > 0, np.log10(np.maximum(d[np.minimum(n, TURING + 1)] * n, 1e-300)) - base, lost + np.log10(model(self.c)))
-        self.at = np.flatnonzero(~first & (np.concatenate([[0], n[:-1]]) > 0))
-        pair = block.pair[self.at - 1]
-        keys, at, self.of = np.unique(pair << 32 | block.w[self.at].astype(np.int64), return_index=True, return_inverse=True)
-        train = np.repeat(~np.array(self.whole["held"], dtype=bool), block.lens)[self.at]
-        self.uses = np.bincount(self.of[train], minlength=len(keys))
-        pair, w = pair[at], block.w[self.at][at]
-        self.uv = block.pair_v[pair].astype(np.uint64) << np.uint64(32) | block.pair_w[pair].astype(np.uint64)
-        self.word, self.lower = block.number[w], self.logs[self.at][at]
-        h = (self.uv ^ (self.uv >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        self.places = np.argsort(bucket, kind="stable")
-        self.cut = np.searchsorted(bucket[self.places], np.arange(buckets + 1))
-
-
-def _add_up(t: pa.Table) -> tuple:
-    """A bucket's asked trigrams: which distinct trigram each is, and those in order of history with counts and log P(w | v)."""
-    uv, w, n, lower = (np.concatenate([_unpack(x, kind) for x in t[c].to_pylist()]) for c, kind in (("uv", np.uint64), ("w", np.int32), ("n", np.uint32), ("lower", np.float64)))
-    by = np.lexsort((w, uv))
-    new = np.ones(len(by), dtype=bool)
-    new[1:] = (uv[by][1:] != uv[by][:-1]) | (w[by][1:] != w[by][:-1])
-    of = np.empty(len(by), dtype=np.int64)
-    of[by] = np.cumsum(new) - 1
-    return of, uv[by][new], np.bincount(of, weights=n).astype(np.int64), lower[by][new], lower
-
-
-def _trigrams(parts: DataFrame, model: Unigrams, d: np.ndarray, start: tuple[float, float], buckets: int, hot: float) -> DataFrame:
-    def ask(t: pa.Table) -> pa.Table:
-        own = Trigrams(t, model, d, start, buckets, hot)
-        out = {c: [] for c in ("bucket", "block", "uv", "w", "n", "lower")}
-        for k in np.flatnonzero(np.diff(own.cut)):
-            at = own.places[own.cut[k] : own.cut[k + 1]]
-            out["bucket"].append(k)
-            out["block"].append(own.whole["block"])
-            for c, x, wide in (("uv", own.uv, np.uint64), ("w", own.word, np.int32), ("n", own.uses, np.uint32), ("lower", own.lower, np.float64)):
-                out[c].append(_pack(x[at].astype(wide)))
-        types = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-        return pa.table([pa.array(x, ty) for x, ty in zip(out.values(), types, strict=True)], names=list(out))
-
-    asked = materialise(parts.groupBy("block").applyInArrow(ask, "bucket int, block long, uv binary, w binary, n binary, lower binary"), "lm-trigrams")
-
-    def count(t: pa.Table) -> pa.Table:
-        total = _add_up(t)[2]
-        tally = np.bincount(np.minimum(total, TURING + 2), minlength=TURING + 3)[1 : TURING + 2]
-        return pa.table([pa.array([tally.tolist()], pa.list_(pa.int64()))], names=["tally"])
-
-    tally = asked.groupBy("bucket").applyInArrow(count, "tally array<long>")
-    tally = tally.agg(*[F.coalesce(F.sum(F.col("tally")[r]), F.lit(0)) for r in range(TURING + 1)]).first()
-    d3 = turing([int(x) for x in tally])
-
-    def answer(t: pa.Table) -> pa.Table:
-        of, uv, total, lower, each = _add_up(t)
-        starts = np.flatnonzero(np.concatenate([[True], uv[1:] != uv[:-1]]))
-        history = np.cumsum(np.concatenate([[0], uv[1:] != uv[:-1]]))
-        kept = d3[np.minimum(total, TURING + 1)] * total
-        spent, count, known = (np.add.reduceat(x, starts) for x in (kept, total.astype(float), np.where(total > 0, 10.0**lower, 0.0)))
-        base = np.where(spent > count - 1e-6, count + 0.5, count)
-        weight = np.log10((1 - spent / base) / np.maximum(1 - known, 1e-12))
-        # words not in training share a number, but not a place: an unseen trigram's own lower order counts
-        logs = np.where(total[of] > 0, np.log10(np.maximum(kept, 1e-300))[of] - np.log10(base)[history][of], weight[history][of] + each)
-        size = [len(_unpack(x, np.int32)) for x in t["w"].to_pylist()]
-        rows = [_part(b, 4, int(t["bucket"][0].as_py()), _pack(x), None) for b, x in zip(t["block"].to_pylist(), np.split(logs, np.cumsum(size)[:-1]), strict=True)]
-        return pa.concat_tables(rows)
-
-    told = materialise(asked.groupBy("bucket").applyInArrow(answer, _PART), "lm-trigram-answers")
-
-    def evaluate(t: pa.Table) -> pa.Table:
-        own = Trigrams(t, model, d, start, buckets, hot)
-        logs, block = np.zeros(len(own.uv)), own.block
-        for row in own.whole["rows"]:
-            if row["kind"] == 4:
-                logs[own.places[own.cut[row["bucket"]] : own.cut[row["bucket"] + 1]]] = _unpack(row["a"], np.float64)
-        own.logs[own.at] = logs[own.of]
-        add = lambda x: np.add.reduceat(x, block.starts)
-        plain = add(np.log10(own.c + 1.0)) - block.lens * np.log10(model.total + model.kinds + 1.0)
-        made = [own.whole["ids"], own.whole["held"], block.lens.astype(np.int64), add((own.c > 0).astype(np.int64)), np.full(len(block.lens), model.total), plain, add(own.logs), add((own.n > 0).astype(np.int64))]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-        return pa.table([pa.array(x, ty) for x, ty in zip(made, types, strict=True)], names=_SCORES.replace(",", "").split()[::2])
-
-    return parts.union(told).groupBy("block").applyInArrow(evaluate, _SCORES)
-
-
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_tokens: int = BUCKET_TOKENS, order: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bigrams for every row."""
-    if order not in (2, 3):
-        raise ValueError("order is 2 or 3")
+        rows = np.zeros((t.num_rows, _SPREAD))
+        rows[t["pos"].to_numpy()] = np.column_stack([t[c].to_numpy() for c in fields])
+        return _parts([_part(int(t["block"][0].as_py()), 3, gram, 0, None, _pack_spreads(rows))])
+
+    sums = found.where("kind = 4").select("a", "b").mapInArrow(spreads, "history binary, " + ", ".join(f"{c} double" for c in fields))
+    sums = sums.groupBy("history").agg(*[F.sum(c).alias(c) for c in fields])
+    asked = materialise(found.where("kind = 6").select("block", "a").mapInArrow(held, "block long, pos long, history binary"), f"lm-held-{gram}")
+    joined = join_hot(asked, sums, "history", F.col("block"))
+    return materialise(joined.groupBy("block").applyInArrow(gather, _PART), f"lm-often-{gram}")
+
+
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_tokens: int = BUCKET_TOKENS, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bigrams and n_longest (tokens whose bigram, and
+    whose longest n-gram, was seen) for every row. `order` is two or more."""
+    if order < 2:
+        raise ValueError("the order is two or more")
     spark = docs.sparkSession
     made = blocks(docs, block_bytes)
-    uni = unigrams(made)
+    with Scratch(spark) as words:
+        uni = unigrams(made)
     got = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max("number"), F.lit(0)), *_sums_of_counts(F.col("c"))).first()
-    if got[2] >= BEGIN:
-        raise ValueError("too many distinct words for 31-bit numbers")
+    if got[2] >= MAX_WORDS:
+        raise ValueError("too many distinct words for 32-bit numbers")
     model = Unigrams(int(got[0]), int(got[1]), [int(x) for x in got[3:]])
-
-    # each block is told the numbers and counts of its words
-    asked = made.select("block", F.posexplode("words").alias("pos", "word"))
-    told = asked.join(uni.select("word", "number", "c").hint("shuffle_hash"), "word", "left").select("block", "pos", F.coalesce("number", F.lit(-1)).alias("number"), F.coalesce("c", F.lit(0)).alias("c"))
-    told = materialise(_gather(told), "lm-told")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("held", "array<boolean>"), ("lens", "array<int>"))]
-    whole = made.select("block", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.col("stream").alias("a"), F.lit(None).cast("binary").alias("b"), "ids", "held", "lens")
-    told = told.select("block", "kind", "bucket", "a", "b", *none)
+    told = _told(made, uni)
+    words.release()
+    none = {c: F.lit(None).cast(t) for c, t in (x.split() for x in _PART.split(", "))}
+    whole = {**none, "block": F.col("block"), "kind": F.lit(0), "gram": F.lit(0), "bucket": F.lit(0), "a": F.col("stream"), **{c: F.col(c) for c in ("ids", "held", "lens")}}
+    parts = made.select(*[x.alias(c) for c, x in whole.items()]).unionByName(told)
 
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.total // bucket_tokens), 1)
     hot = model.total / (2 * buckets)
-
-    def ask(t: pa.Table) -> pa.Table:
-        whole, block = _of_parts(t)
-        order, cut = block.dealt(buckets, hot)
-        out = {c: [] for c in ("bucket", "block", "v", "w", "n", "c")}
-        for k in np.flatnonzero(np.diff(cut)):
-            at = order[cut[k] : cut[k + 1]]
-            out["bucket"].append(k)
-            out["block"].append(whole["block"])
-            for c, x, wide in (("v", block.pair_v, np.uint32), ("w", block.pair_w, np.uint32), ("n", block.n, np.uint32), ("c", block.pair_c, np.int64)):
-                out[c].append(_pack(x[at].astype(wide)))
-        types = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-        return pa.table([pa.array(x, ty) for x, ty in zip(out.values(), types, strict=True)], names=list(out))
-
-    asked = whole.union(told).groupBy("block").applyInArrow(ask, "bucket int, block long, v binary, w binary, n binary, c binary")
-
-    def add_up(t: pa.Table) -> pa.Table:
-        """A bucket: its part of the bigram table (kind 0), answers by block (1) and sums by history (2)."""
-        lists = {x: [_unpack(raw, np.int64 if x == "c" else np.uint32) for raw in t[x].to_pylist()] for x in ("v", "w", "n", "c")}
-        size = [len(x) for x in lists["v"]]
-        v, w, n, c = (np.concatenate(lists.pop(x)) for x in ("v", "w", "n", "c"))
-        keys, first, of = np.unique((v.astype(np.uint64) << np.uint64(32)) | w, return_index=True, return_inverse=True)
-        total = np.bincount(of, weights=n, minlength=len(keys)).astype(np.int64)
-        answers = np.split(total[of].astype(np.uint32), np.cumsum(size)[:-1])
-        seen = total > 0
-        gram_v, gram_w, gram_n = v[first][seen], w[first][seen], total[seen]
-        starts = np.flatnonzero(np.diff(gram_v.astype(np.int64), prepend=-1))
-        sums = np.zeros((len(starts), TURING + 2))
-        if len(starts):
-            for r in range(1, TURING + 1):
-                sums[:, r - 1] = np.add.reduceat((gram_n == r).astype(float), starts)
-            sums[:, TURING] = np.add.reduceat(np.where(gram_n > TURING, gram_n, 0).astype(float), starts)
-            sums[:, TURING + 1] = np.add.reduceat(model(c[first][seen]), starts)
-        bucket = int(t["bucket"][0].as_py())
-        tally = np.bincount(np.minimum(gram_n, TURING + 2), minlength=TURING + 3)[1 : TURING + 2]
-        out = [(0, bucket, None, _pack(gram_v), _pack(gram_w), _pack(gram_n.astype(np.uint32)), tally.tolist()), (2, bucket, None, _pack(gram_v[starts]), _pack(sums), None, None)]
-        out += [(1, bucket, b, _pack(x), None, None, None) for b, x in zip(t["block"].to_pylist(), answers, strict=True)]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        return pa.table([pa.array(x, ty) for x, ty in zip(zip(*out, strict=True), types, strict=True)], names=["kind", "bucket", "block", "a", "b", "c", "tally"])
-
-    grams = asked.groupBy("bucket").applyInArrow(add_up, "kind int, bucket int, block long, a binary, b binary, c binary, tally array<long>")
-    grams = materialise(grams, "lm-bigrams", ["kind"])
-    tally = grams.where("kind = 0").agg(*[F.coalesce(F.sum(F.col("tally")[r]), F.lit(0)) for r in range(TURING + 1)]).first()
-    d = turing([int(x) for x in tally])
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(batch["a"], batch["b"], strict=True):
-                v = _unpack(a.as_py(), np.uint32).astype(np.int64)
-                sums = _unpack(b.as_py(), np.float64).reshape(-1, TURING + 2)
-                r = np.arange(1, TURING + 1)
-                spent = (sums[:, :TURING] * (d[r] * r)).sum(axis=1) + sums[:, TURING]
-                count = (sums[:, :TURING] * r).sum(axis=1) + sums[:, TURING]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v, spent, count, sums[:, TURING + 1])], names=["v", "spent", "count", "known"])
-
-    history = grams.where("kind = 2").select("a", "b").mapInArrow(unpack, "v long, spent double, count double, known double")
-    history = history.groupBy("v").agg(F.sum("spent").alias("spent"), F.sum("count").alias("count"), F.sum("known").alias("known"))
-    # a history that gave up nothing gives up half a count
-    base = F.when(F.col("spent") > F.col("count") - 1e-6, F.col("count") + 0.5).otherwise(F.col("count"))
-    weight = F.log10((1 - F.col("spent") / base) / F.greatest(1 - F.col("known"), F.lit(model.unknown)))
-    given = F.log10(base) - F.log10("count")
-    history = materialise(history.select(F.col("v").alias("number"), F.log10(base).alias("base"), weight.alias("weight"), given.alias("given")), "lm-histories")
-    start = history.where(F.col("number") == BEGIN).first()
-    start = (start["base"], start["weight"]) if start else (0.0, 0.0)
-    history = history.select("number", "weight", "given")
-
-    answers = grams.where("kind = 1").select("block", F.lit(2).alias("kind"), "bucket", "a", F.lit(None).cast("binary").alias("b"), *none)
-
-    if order == 3:
-        parts = whole.union(told).union(answers).union(_weights(told, history).select("block", "kind", "bucket", "a", "b", *none))
-        return _trigrams(parts, model, d, start, buckets, hot)
+    discounts: list[np.ndarray] = []
+    for n in range(2, order + 1):
+        told, d = _grams(parts, n, model, discounts, buckets, hot)
+        parts = parts.unionByName(told)
+        discounts.append(d)
 
     def evaluate(t: pa.Table) -> pa.Table:
-        """A block's texts (kind 0), scored but for what depends on histories, and those by text (kind 1)."""
-        whole, block = _of_parts(t)
-        places, cut = block.dealt(buckets, hot)
-        c_pair = np.zeros(len(block.keys), dtype=np.int64)
-        for row in whole["rows"]:
-            if row["kind"] == 2:
-                c_pair[places[cut[row["bucket"]] : cut[row["bucket"] + 1]]] = _unpack(row["a"], np.uint32)
-        c = block.count[block.w]
-        n = np.where(block.pair >= 0, c_pair[block.pair], 0) if len(c_pair) else np.zeros(len(block.w), dtype=np.int64)
-        first, v = block.v < 0, np.maximum(block.v, 0)
-        v_number = np.where(first, -1, block.number[v])
-        # a seen bigram stands over its history's count, an unseen one is the unigram times the history's weight
-        v_base = np.where(first, start[0], np.log10(np.maximum(block.count[v], 1)))
-        logs = np.where(n > 0, np.log10(np.maximum(d[np.minimum(n, TURING + 1)] * n, 1e-300)) - v_base, np.where(first, start[1], 0.0) + np.log10(model(c)))
-        add = lambda x: np.add.reduceat(x, block.starts)
-        plain = add(np.log10(c + 1.0)) - block.lens * np.log10(model.total + model.kinds + 1.0)
-        at, size = np.arange(len(block.lens)), len(block.lens)
-        texts = [np.zeros(size, dtype=np.int32), np.full(size, whole["block"]), at, whole["ids"], whole["held"], block.lens.astype(np.int64), add((c > 0).astype(np.int64)), plain, add(logs), add((n > 0).astype(np.int64)), [None] * size, [None] * size, [None] * size]
-        # histories whose weight is asked for: of unseen bigrams, and those that may have given up nothing, since no
-        # bigram of theirs here was seen so rarely that it is discounted
-        spared = np.ones(len(block.number), dtype=bool)
-        spared[v[~first & (n >= 1) & (n <= TURING)]] = False
-        text = np.repeat(at, block.lens)
-        asked = (v_number >= 0) & ((n == 0) | spared[v])
-        key, of = np.unique(text[asked].astype(np.int64) << 32 | v_number[asked], return_inverse=True)
-        unseen = np.bincount(of, weights=n[asked] == 0, minlength=len(key)).astype(np.int64)
-        seen = np.bincount(of, minlength=len(key)) - unseen
-        none, size = [None] * len(key), len(key)
-        extra = [np.ones(size, dtype=np.int32), np.full(size, whole["block"]), key >> 32, none, none, none, none, none, none, none, key & 0xFFFFFFFF, unseen, seen]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        made = [pa.table([pa.array(x, ty) for x, ty in zip(rows, types, strict=True)], names=scored) for rows in (texts, extra)]
-        return pa.concat_tables(made)
-
-    scored = ["kind", "block", "at", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bigrams", "number", "unseen", "seen"]
-    parts = whole.union(told).union(answers)
-    parts = parts.groupBy("block").applyInArrow(evaluate, "kind int, block long, at long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bigrams long, number long, unseen long, seen long")
-    parts = materialise(parts, "lm-scored", ["kind"])
-    wanted = parts.where("kind = 1").select("block", "at", "number", "unseen", "seen").join(history, "number")
-    rest = wanted.groupBy("block", "at").agg(F.sum(F.col("unseen") * F.col("weight") - F.col("seen") * F.col("given")).alias("rest"))
-    texts = parts.where("kind = 0").join(rest, ["block", "at"], "left")
-    return texts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"), "n_bigrams")
+        own = Block(t, model, discounts, buckets, hot, ask=False)
+        add = lambda x: np.add.reduceat(x, own.starts)
+        seen = []
+        for level in (own.levels[0], own.levels[order - 2]):
+            at = np.zeros(len(own.c), dtype=np.int64)
+            at[level.at] = level.count[level.of] > 0
+            seen.append(add(at))
+        plain = add(np.log10(own.c + 1.0)) - own.lens * np.log10(model.total + model.kinds + 1.0)
+        made = [own.ids, own.held, own.lens.astype(np.int64), add((own.c > 0).astype(np.int64)), np.full(len(own.lens), model.total), plain, add(own.logs), *seen]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(x, ty) for x, ty in zip(made, types, strict=True)], names=_names(_SCORES))
+
+    return parts.groupBy("block").applyInArrow(evaluate, _SCORES)
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), order=3)
+    return stored(spark, "lm-scores", lambda: score(table(spark, sf_dir, "documents")))
