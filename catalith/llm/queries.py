@@ -17,4 +17,4 @@ QUERIES = {
     "op10_licenses": licenses.op10_licenses,
 }
 
-SQL = {**exact_dedup.SQL, **warc.SQL}
+SQL = {**exact_dedup.SQL, **packing.SQL, **warc.SQL}

@@ -231,24 +231,58 @@ def test_boundaries_are_optimal():
             assert len(found) <= k and found[-1] == lengths[-1] and padded(found) == best
 
 
+def plain_packing(rows, buckets, budget):
+    """Boundaries by trying all splits with a table, places by sorting."""
+    n = [(i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in rows]
+    sizes = sorted({x for _, x in n})
+    count = {x: sum(y == x for _, y in n) for x in sizes}
+    best = {(0, 0): (0, [])}
+    for k in range(1, buckets + 1):
+        for j in range(1, len(sizes) + 1):
+            found = [(best[k - 1, i][0] + sizes[j - 1] * sum(count[x] for x in sizes[i:j]), best[k - 1, i][1] + [sizes[j - 1]]) for i in range(j) if (k - 1, i) in best]
+            if found:
+                best[k, j] = min(found, key=lambda f: f[0])
+    padded = min((best[k, len(sizes)][0] for k in range(1, buckets + 1) if (k, len(sizes)) in best), default=0)
+    return n, padded
+
+
+def check_packing(got, rows, buckets, budget):
+    n, padded = plain_packing(rows, buckets, budget)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=key) == sorted(n, key=key)
+    assert sum(r["padded_tokens"] for r in got) == padded
+    for bucket in {r["bucket"] for r in got}:
+        own = sorted((r for r in got if r["bucket"] == bucket), key=lambda r: key((r["doc_id"], r["n_tokens"])))
+        assert len({r["padded_tokens"] for r in own}) == 1 and all(r["n_tokens"] <= r["padded_tokens"] for r in own)
+        capacity = max(1, budget // max(1, own[0]["padded_tokens"]))
+        places = [(k // capacity, k % capacity) for k in range(len(own))]
+        assert sorted((r["batch"], r["slot"]) for r in own) == places
+        if len({key((r["doc_id"], r["n_tokens"])) for r in own}) == len(own):
+            assert [(r["batch"], r["slot"]) for r in own] == places
+
+
 def test_packing(spark):
     docs = awkward(spark).unionByName(spark.createDataFrame([(100 + k, prose(k % 50, k), "en", "c", 1) for k in range(300)], "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
-    got = packing.pack(docs, buckets=4, budget=200).collect()
-    assert len(got) == docs.count()
-    assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in got) == sorted((r["doc_id"] or -1, len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in docs.collect())
-    batches = {}
-    for r in got:
-        assert packing.EXACT < r["n_tokens"] or r["n_tokens"] <= r["padded_tokens"]
-        batches.setdefault((r["bucket"], r["batch"]), []).append(r)
-    assert len({r["bucket"] for r in got}) <= 4
-    for (bucket, batch), rows in batches.items():
-        capacity = max(1, 200 // max(1, rows[0]["padded_tokens"]))
-        last = batch == max(b for k, b in batches if k == bucket)
-        assert sorted(r["slot"] for r in rows) == list(range(len(rows))) and (len(rows) == capacity or last and len(rows) < capacity)
-
-
-def test_rounded_lengths(spark):
-    from pyspark.sql import functions as F
-
-    rows = spark.createDataFrame([(n,) for n in (0, 1, 4096, 4097, 8191, 8192, 20001, 10**7)], "n long").select("n", packing.rounded(F.col("n")).alias("r")).collect()
-    assert all(r["r"] >= r["n"] and r["r"] - r["n"] <= max(0, r["n"] // 64) for r in rows) and [r["r"] for r in rows[:3]] == [0, 1, 4096]
+    check_packing(packing.pack(docs, buckets=4, budget=200).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()], 4, 200)
+
+
+def test_packing_of_many_rows_and_long_texts(spark):
+    """Ids are in order at any size, also those of one length; lengths beyond a few thousand words count exactly."""
+    rows = [(k, "w " * (3 if k % 3 else 5 + k % 17)) for k in range(5000)] + [(9000 + k, "w " * (5000 + 7 * k)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    check_packing(packing.pack(docs, buckets=6, budget=64).collect(), rows, 6, 64)
+
+
+def test_packing_of_one_id(spark):
+    docs = spark.range(4000).selectExpr("if(id % 2 = 0, null, 7) as doc_id", "repeat('w ', cast(id % 3 as int)) as text")
+    check_packing(packing.pack(docs, buckets=2, budget=64).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()], 2, 64)
+
+
+def test_splits_are_the_best():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 7, 64, 200):
+        size = np.sort(rng.choice(10_000, size=n, replace=False)).astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(rng.integers(1, 50, size=n))])
+        tail = np.concatenate([[0], (size * before[1:])[:-1]])
+        want = [min(range(j + 1), key=lambda i, j=j: (tail[i] - size[j] * before[i], i)) for j in range(n)]
+        assert packing._splits(tail, size, before).tolist() == want
