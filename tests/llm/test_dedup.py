@@ -202,6 +202,32 @@ def test_exact_dedup(spark, parts, radix):
     assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
 
 
+def test_merge_of_sorted_runs():
+    """Pieces of several runs become one sorted run without repeats; a split run and small pieces change nothing."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    runs = []
+    for run in range(5):
+        t = np.zeros((400, 10), dtype=np.uint64)
+        t[:, 0] = rng.integers(0, 300, size=400)
+        t[:, 8] = np.arange(400) + 1000 * run
+        t[:, 9] = np.uint64(1 << 63) + np.uint64(1)
+        runs.append(t[np.lexsort(t[:, 8::-1].T)])
+    pieces = []
+    for t in runs:
+        t = exact_dedup._collapse([t])
+        cut = sorted(rng.choice(len(t), size=6, replace=False))
+        pieces += [p for p in np.split(t, cut) if len(p)]
+    pieces.sort(key=lambda p: p[0, :4].tolist())
+    batch = pa.RecordBatch.from_pydict({"rng": [0] * len(pieces), "run": [0] * len(pieces), "first": [p[0, :4].astype(">u8").tobytes() for p in pieces], "entries": [p.tobytes() for p in pieces]})
+    got = np.concatenate([np.frombuffer(x, dtype=np.uint64).reshape(-1, 10) for b in exact_dedup._merged(iter([batch])) for x in b["entries"].to_pylist()])
+    everything = np.concatenate(runs)
+    keys, n = np.unique(everything[:, 0], return_counts=True)
+    assert got[:, 0].tolist() == keys.tolist() and exact_dedup._number(got[:, 9].copy()).tolist() == n.tolist()
+    assert got[:, 8].tolist() == [everything[everything[:, 0] == k, 8].min() for k in keys]
+
+
 def test_one_large_group(spark):
     docs = spark.range(3000).selectExpr("id + 5 as doc_id", "if(id % 3 = 0, 'same  text', concat('text ', id)) as text").repartition(13)
     got = exact_dedup.exact_groups(docs)
