@@ -19,8 +19,9 @@ similarity is s or more link (`verified`). Texts with equal sets are one node. T
 sample finds in many texts last, which keeps lists short; whatever the sample says, no pair is missed for it.
 
 Only links that join two sets unknown to a task as joined leave it, never all pairs of a group. A list longer than `LIST_ROWS`
-is split into blocks, and pairs of blocks go to different tasks, so no list is held whole. Components grow by
-alternating large-star and small-star rounds, each round a stored table.
+is split into blocks, and pairs of blocks go to different tasks, so no list is held whole. Partitions contract the links they hold;
+the components of the rest grow by alternating large-star and small-star rounds, each round a stored table, and by a union-find once
+no more than `TASK_LINKS` links are left.
 
 Defined cases. Null and blank texts have fingerprint zero and link like any other. Texts of fewer words than a
 shingle use the whole word sequence as their one shingle. Repeated ids are separate rows. A null id never becomes a
@@ -40,13 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot, map_arrow, materialise, raw_texts, table
+from .common import join_hot, map_arrow, materialise, raw_texts, stored, table
 
 LIST_ROWS = 8192
-VERIFY_ROWS = 2048
+VERIFY_ROWS = 512
 POST_ROWS = 1024
 SAMPLE = 64  # one row of so many tells which shingles are frequent
 SHORT_LIST = 32
+TASK_LINKS = 1 << 18
 _PAIRS = 1 << 17  # blocks of a list at most
 SEED = 42
 
@@ -305,13 +307,14 @@ def links(distinct: DataFrame, profile: Profile, list_rows: int = LIST_ROWS) ->
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One round: link the larger (large) or smaller-or-equal (small) neighbours of a node to its smallest."""
+    """One round: link the larger (large) or smaller-or-equal (small) neighbours of a node to its smallest. `edges` is stored;
+    a node with very many neighbours meets its smallest one in parts."""
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    joined = both.join(least, "a")
+    joined = join_hot(both, least, "a", F.col("b"))
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -319,27 +322,32 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of `edges` (a, b), root being the smallest node reachable.
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of one task, each node to the smallest one its links reach."""
+    sets = Sets()
+    for batch in batches:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+            sets.join(a, b)
+    yield _pairs([(x, y) for x in list(sets.parent) if x != (y := sets.root(x))])
 
-    Each partition first contracts the links it has (a union-find over one partition), which leaves a few rounds for
-    links between partitions."""
 
-    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets()
-        for batch in batches:
-            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
-                sets.join(a, b)
-        yield _pairs([(x, y) for x in list(sets.parent) if x != (y := sets.root(x))])
+def components(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+    """(node, root) for every node of `edges` (a, b), root being the smallest node reachable.
 
-    now = materialise(edges.mapInArrow(contract, "a long, b long").distinct(), "links")
+    Each partition first contracts the links it has (a union-find over one partition). What is left between partitions goes to
+    one task if that is at most `task_links` links, a bounded number; while there are more, they are joined in rounds of stars."""
+    now = materialise(edges.mapInArrow(_contract, "a long, b long").distinct(), "links")
     stamp = None
     while True:
-        now = materialise(_stars(_stars(now, True), False), "stars")
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == stamp or not new[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if new[0] <= task_links:
+            now = materialise(now.coalesce(1).mapInArrow(_contract, "a long, b long"), "contracted") if new[0] else now
+            break
+        if new == stamp:
+            break
         stamp = new
+        now = materialise(_stars(materialise(_stars(now, True), "stars"), False), "stars")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def jaccard_forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -452,4 +460,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return stored(spark, "near-groups", lambda: near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id"))

@@ -66,14 +66,15 @@ def test_simhash_links_at_most_three_bits(spark):
     nodes = spark.createDataFrame([(k, int(f).to_bytes(8, "big")) for k, f in enumerate(fps)], "node long, fp binary")
     want = plain_components(list(range(len(fps))), [int(f) for f in fps])
     for size in (simhash.LIST_ROWS, 2):
-        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes, simhash.STRICT, size)).collect()}
+        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes, simhash.STRICT, size), size - 2).collect()}
         assert [roots.get(k, k) for k in range(len(fps))] == want
 
 
 def test_chain_of_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "a long, b long").repartition(7)
-    roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
-    assert roots == {**{k: 0 for k in range(1, 201)}, 501: 500}
+    for task_links in (0, 10, simhash.TASK_LINKS):
+        roots = {r["node"]: r["root"] for r in simhash.components(edges, task_links).collect()}
+        assert roots == {**{k: 0 for k in range(1, 201)}, 501: 500}
 
 
 def test_forest_of_a_long_list():
