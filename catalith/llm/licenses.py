@@ -3,16 +3,19 @@
 Texts and templates become words (lower-case, cut at ASCII punctuation and blanks) and five-word shingles. Templates of
 one length form a class; for each class a text has overlapping windows, a quarter longer than the template and set so
 close that every stretch of the template's length lies whole in one. A window's MinHash signature has `BANDS` bands of
-one row each: a window at Jaccard similarity s with a template meets it with probability 1 - (1 - s) ** BANDS. A
-template that lies whole in a window has s of at least 0.5, one with the least accepted containment (0.8) at
-least 0.4: they meet with probability 0.99998 and 0.9997. Whatever meets is verified by exact shingle containment.
+one row each, and windows retrieve the templates that hold the same value in the same band. A window at Jaccard similarity s with a template meets it with
+probability 1 - (1 - s) ** BANDS. A template that lies whole in a window has s of at least 0.5, one with the least accepted containment (0.8) at
+least 0.4: they meet with probability 0.99998 and 0.9997. Whatever meets is verified by exact shingle containment in the window's
+neighbourhood, which reaches half a template further on both sides, so words set between those of a notice don't hide it.
 
-A band can only meet if the window holds the very shingle that is the template's minimum there. So texts without any
-of these shingles (a few hundred hashes, fixed by the templates) are passed over before windows are formed; that
-loses nothing. The signatures of the templates are a fixed-size table, the only thing broadcast.
+A band can only meet if the window holds the very shingle that is the template's minimum there. Only windows around such shingles (a
+few hundred hashes, fixed by the templates) are formed; that loses nothing. Texts are cut into overlapping segments of
+`SEGMENT` words first, so no row holds the windows of a whole long text. The signatures of the templates are a fixed-size
+table, the only thing broadcast.
 
 Defined cases. Null and empty texts, and texts of fewer than five words, match nothing and give no rows. Repeated rows
-give repeated matches (each is scanned by itself). Templates need at least five words.
+give repeated matches (each is scanned by itself). Of several places of one license in a text the first counts, with the greatest
+containment of all. Columns besides doc_id and text are not read. Templates need at least five words.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from .common import table
 SHINGLE = 5
 BANDS = 16
 CONTAINMENT = 0.8
+SEGMENT = 4096
 
 # fixed values: public license notices
 TEMPLATES = {
@@ -91,35 +95,64 @@ def signatures(spark: SparkSession, templates: dict[str, str]) -> list[dict]:
     return [r.asDict() for r in made.withColumn("marks", F.array_distinct(marks)).collect()]
 
 
+def segments(docs: DataFrame, longest: int) -> DataFrame:
+    """doc_id, row, offset (shingles before the segment) and s, the shingle hashes of `SEGMENT` begins and `longest` more on both
+    sides."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
+    rows = rows.where(F.size("w") >= SHINGLE)
+    begins = F.sequence(F.lit(0), F.size("w") - 1, F.lit(SEGMENT))
+
+    def cut(b: Column) -> Column:
+        lo = F.greatest(F.lit(0), b - longest)
+        return F.struct(lo.alias("offset"), b.alias("begin"), F.slice("w", lo + 1, b - lo + SEGMENT + longest + SHINGLE - 1).alias("w"))
+
+    cuts = rows.select("doc_id", "row", F.explode(F.transform(begins, cut)).alias("cut"))
+    return cuts.select("doc_id", "row", "cut.offset", "cut.begin", shingle_hashes(F.col("cut.w")).alias("s"))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = CONTAINMENT) -> DataFrame:
-    """doc_id, license, first_word, containment and windows, for every license found in a text."""
+    """doc_id, license, first_word (the first word of the match, counted from one), containment and windows, for every license found in a text."""
     spark = docs.sparkSession
     known = signatures(spark, templates)
     marks = sorted({m for t in known for m in t["marks"]})
-    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
-    rows = rows.withColumn("s", shingle_hashes(F.col("w"))).drop("w")
-    rows = rows.where(F.exists("s", lambda h: h.isin(marks)))
-    table_ = F.explode(F.array(*[F.struct(F.lit(t["name"]).alias("license"), F.lit(t["length"]).alias("length"), F.array(*map(F.lit, t["s"])).alias("t"), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(b).alias("v")) for k, b in enumerate(t["bands"])]).alias("bands")) for t in known]))
-    catalogue = spark.range(1).select(table_.alias("x")).select("x.*")
     shapes = sorted({t["length"] for t in known})
+    rows = segments(docs, 2 * shapes[-1])
+
+    def is_mark(h: Column) -> Column:
+        return h.isin(marks)
+
+    rows = rows.where(F.exists("s", is_mark))
+    # the places of marks, by word of the text from zero
+    at = F.filter(F.transform("s", lambda h, k: F.when(is_mark(h), k + F.col("offset"))), lambda k: k.isNotNull())
+    rows = rows.withColumn("at", at)
 
     def laid(length: int) -> Column:
+        """The windows of a class that hold a mark and begin in this segment: on a grid of the text, so of no other segment."""
         size, step = window_shape(length)
-        # the last window begins where the text's last `length` words lie whole in it
-        last = F.greatest(F.lit(1), F.size("s") + (SHINGLE - 1) - length + 1)
-        begins = F.sequence(F.lit(1), last, F.lit(step))
-        return F.transform(begins, lambda b: F.struct(F.lit(length).alias("length"), b.alias("begin"), F.slice("s", b, F.lit(size - SHINGLE + 1)).alias("s")))
-
-    each = [laid(length) for length in shapes]
-    windows = rows.select("doc_id", "row", F.explode(F.concat(*each)).alias("win")).select("doc_id", "row", "win.*")
-    # a window without any mark cannot meet a band
-    windows = windows.where(F.exists("s", lambda h: h.isin(marks)))
-    signed = windows.withColumn("bands", F.array(*[F.struct(F.lit(k).alias("k"), band(F.col("s"), k).alias("v")) for k in range(BANDS)]))
-    met = signed.join(F.broadcast(catalogue.withColumnRenamed("bands", "t_bands")), "length").where(F.arrays_overlap("bands", "t_bands"))
-    share = F.size(F.array_intersect("t", "s")) / F.size(F.array_distinct("t"))
-    found = met.withColumn("containment", share).where(F.col("containment") >= least)
-    best = found.groupBy("row", "doc_id", "license").agg(F.min("begin").alias("first_word"), F.max("containment").alias("containment"), F.count("*").alias("windows"))
-    return best.drop("row")
+        reach = size - SHINGLE  # the last shingle of a window begins so many words after its first
+        firsts = F.transform("at", lambda p: F.greatest(F.lit(0), F.ceil((p - reach) / F.lit(step)).cast("int")) * step)
+        grid = F.flatten(F.zip_with("at", firsts, lambda p, b: F.when(b <= p, F.sequence(b, p, F.lit(step))).otherwise(F.array().cast("array<int>"))))
+        inside = F.filter(F.array_distinct(grid), lambda b: (b >= F.col("begin")) & (b < F.col("begin") + SEGMENT))
+
+        def window(b: Column) -> Column:
+            lo = F.greatest(b - length // 2, F.col("offset"))
+            wide = F.slice("s", lo - F.col("offset") + 1, b - lo + reach + 1 + length // 2)
+            return F.struct(F.lit(length).alias("length"), b.alias("window"), F.slice("s", b - F.col("offset") + 1, F.lit(reach + 1)).alias("s"), lo.alias("lo"), wide.alias("wide"))
+
+        return F.transform(inside, window)
+
+    windows = rows.select("doc_id", "row", F.explode(F.concat(*map(laid, shapes))).alias("win")).select("doc_id", "row", "win.*")
+    values = sorted({v for t in known for v in t["bands"]})
+    bands = F.array(*[F.struct(F.lit(k).alias("k"), band(F.col("s"), k).alias("v")) for k in range(BANDS)])
+    signed = windows.withColumn("band", F.explode(F.filter(bands, lambda x: x["v"].isin(values)))).select("*", "band.k", "band.v").drop("s", "band")
+    table_ = F.array(*[F.struct(F.lit(t["name"]).alias("license"), F.lit(t["length"]).alias("length"), F.array(*map(F.lit, t["s"])).alias("t"), F.lit(k).alias("k"), F.lit(v).alias("v")) for t in known for k, v in enumerate(t["bands"])])
+    catalogue = spark.range(1).select(F.explode(table_).alias("x")).select("x.*")
+    met = signed.join(F.broadcast(catalogue), ["length", "k", "v"])
+    shared = F.array_intersect("t", "wide")
+    met = met.withColumn("containment", F.size(shared) / F.size(F.array_distinct("t"))).where(F.col("containment") >= least)
+    first = F.array_min(F.transform(shared, lambda h: F.array_position("wide", h))).cast("int") + F.col("lo")
+    best = met.withColumn("first", first).groupBy("row", "doc_id", "license")
+    return best.agg(F.min("first").alias("first_word"), F.max("containment").alias("containment"), F.count_distinct("window").alias("windows")).drop("row")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,26 +272,46 @@ def test_language_id_posterior(spark):
 
 
 def plain_licenses(text):
-    words, found = licenses.words_of(text or ""), set()
+    """Licenses of which some stretch of text holds enough of the shingles: a window of any begin, and half a template around it."""
+    words, found = licenses.words_of(text or ""), {}
+    grams = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
     for name, t in licenses.TEMPLATES.items():
-        want = {tuple(licenses.words_of(t)[k : k + 5]) for k in range(len(licenses.words_of(t)) - 4)}
-        size, step = licenses.window_shape(len(licenses.words_of(t)))
-        for b in range(0, max(1, len(words) - len(licenses.words_of(t)) + 1), step):
-            win = words[b : b + size]
-            if len(want & {tuple(win[k : k + 5]) for k in range(len(win) - 4)}) >= 0.8 * len(want):
-                found.add(name)
+        own = licenses.words_of(t)
+        want = {tuple(own[k : k + 5]) for k in range(len(own) - 4)}
+        if not want & set(grams):
+            continue
+        size = len(own) + max(1, len(own) // 4)
+        step = size - len(own) + 1
+        for b in range(0, len(grams), step):
+            lo = max(0, b - len(own) // 2)
+            held = grams[lo : b + size - 4 + len(own) // 2]
+            if len(want & set(held)) >= 0.8 * len(want):
+                at = lo + next(k for k, g in enumerate(held) if g in want) + 1
+                found[name] = min(at, found.get(name, at))
     return found
 
 
 def test_licenses(spark):
     mit, gpl = licenses.TEMPLATES["MIT-permission"], licenses.TEMPLATES["GPL-3.0"]
+    half = mit.split()
     rows = [(1, prose(300, 1) + "\n" + mit.upper().replace(", ", ",\n  ") + prose(50, 2)), (2, gpl), (3, mit.replace("publish", "PRINT")), (4, " ".join(mit.split()[:20])), (5, None), (6, ""), (7, "Licensed under"), (8, (gpl + " ") * 3), (8, (gpl + " ") * 3), (9, prose(20_000, 3) + " " + licenses.TEMPLATES["CC-BY-NC-4.0"])]
+    rows += [(20 + k, prose(k, k) + " " + " ".join(half[:25]) + " " + prose(15, 70 + k) + " " + " ".join(half[25:])) for k in range(0, 40, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(awkward(spark).where("doc_id > 3"), allowMissingColumns=True)
     got = licenses.scan(docs).collect()
     want = sorted((r["doc_id"], x) for r in docs.collect() for x in plain_licenses(r["text"]))
     assert sorted((r["doc_id"], r["license"]) for r in got) == want and {x for _, x in want} >= {"MIT-permission", "GPL-3.0", "CC-BY-NC-4.0"}
+    assert {r["doc_id"] for r in got if r["license"] == "MIT-permission"} >= {1, 3, *range(20, 60, 3)}
+    assert {r["doc_id"]: r["first_word"] for r in got if r["doc_id"] in (1, 2, 8)} == {1: 301, 2: 1, 8: 1}
     assert licenses.scan(empty(spark)).count() == 0
     plan = licenses.scan(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     with pytest.raises(ValueError):
         licenses.scan(docs, {"short": "too short"})
+
+
+def test_licenses_across_segments(spark, monkeypatch):
+    """Where a text is cut changes nothing."""
+    docs = spark.createDataFrame([(k, prose(k, k) + " " + licenses.TEMPLATES["BSD-conditions"] + " " + prose(90, k + 1) + " " + licenses.TEMPLATES["ISC"]) for k in range(60, 90)], "doc_id long, text string")
+    whole = sorted(map(tuple, licenses.scan(docs).collect()))
+    monkeypatch.setattr(licenses, "SEGMENT", 32)
+    assert sorted(map(tuple, licenses.scan(docs).collect())) == whole and len(whole) == 60
