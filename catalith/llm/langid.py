@@ -4,13 +4,18 @@ Four kinds of evidence meet in one posterior per page: the likelihood of its vis
 each language; the language its markup declares; the suffix of its address; and the languages of its host. The text
 models come from all of `documents` (by its lang column). The reliability of declarations and suffixes, and the host
 priors, come from grouped aggregates of the text posteriors over all pages. Host priors are smoothed hierarchically:
-a host's counts towards its registered domain's, those towards the global ones, each with `PSEUDO` pages of prior.
+a host's counts towards its registered domain's, those towards the global ones, each with `PSEUDO` pages of prior. A page's
+own text posterior is taken out of every sum that it is judged by, so no evidence counts twice.
 
 Text likelihoods are tempered by `TEMPER`, since trigrams of one text are not independent evidence.
 
+A registered domain is the last two labels of a host, or three where the last two are a public suffix: a country's letters
+under one of `SECOND_LEVEL`. A host that is an address of numbers is its own domain.
+
 Defined cases. Null html has no text, no declaration, and is decided by address and host; a null or malformed url has
-the empty host, which is one host. Repeated pages count each time. With no documents, or none with a language, no language is known and lang is null.
-Languages beyond the `MAX_LANGS` most frequent of `documents` are not modelled (a documented bound of the model size).
+the empty host, which is one host. Repeated pages count each time. Very long html is read whole. Columns besides page_id, url and html are
+not read. Of equally likely languages the first by name is chosen. With no documents, or none with a language, no language is known and lang is null.
+Every language of `documents` has a model; more than `MAX_LANGS` raise an error, since the models are held by each task.
 """
 
 from __future__ import annotations
@@ -24,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, join_hot, map_arrow, materialise, raw_texts, slot, table
+from .common import gram_hashes, join_hot, map_arrow, materialise, raw_texts, slot, stored, table
 
 BITS = 15
 GRAM = 3
-MAX_LANGS = 128
-TOP_SUFFIXES = 1024
+MAX_LANGS = 1024
 TEMPER = 0.05
 PSEUDO = 5.0
 
+# fixed values: labels that countries register domains under
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "or", "org")
+
 _HIDDEN = re.compile(rb"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>")
 _DECLARED = re.compile(rb"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
 _META = re.compile(rb"(?is)<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?\s*([a-z]{2,3})\b")
@@ -56,8 +63,10 @@ def places(raw: bytes) -> np.ndarray:
 
 def text_models(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages, and the log probability of every trigram place in each: all texts are counted."""
-    known = docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    known = docs.where("lang is not null").select("lang").distinct().limit(MAX_LANGS + 1)
     langs = sorted(r["lang"] for r in known.collect())
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     number = {x: k for k, x in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,17 +107,18 @@ def read_pages(pages: DataFrame, langs: list[str], logs: np.ndarray) -> DataFram
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long"), host.alias("host"), F.col("html").cast("string"))
     rows = map_arrow(rows, run, "page_id long, host string, declared string, likely array<double>, post array<double>")
-    return rows.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    return rows.withColumn("domain", registered(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1))
 
 
-def _sums(rows: DataFrame, by: list[str], n: int) -> DataFrame:
-    return rows.groupBy(*by).agg(F.array(*[F.sum(F.col("post")[k]) for k in range(n)]).alias("c"))
+def registered(host: Column) -> Column:
+    two = F.substring_index(host, ".", -2)
+    numbers = host.rlike(r"^[0-9.]+$|^\[")
+    public = two.rlike(rf"^(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$")
+    return F.when(numbers, host).when(public, F.substring_index(host, ".", -3)).otherwise(two)
 
 
-def _smoothed(c: Column, prior: Column) -> Column:
-    """(counts + PSEUDO * prior) / (their sum + PSEUDO)."""
-    total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    return F.zip_with(c, prior, lambda x, p: (x + PSEUDO * p) / (total + PSEUDO))
+def _sums(rows: DataFrame, by: list[str], n: int) -> DataFrame:
+    return rows.groupBy(*by).agg(F.array(*[F.sum(F.col("post")[k]) for k in range(n)]).alias("c"))
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -119,32 +129,39 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         return pages.select(F.col("page_id").cast("long"), *[F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("probability", "double"), ("text_lang", "string"), ("declared", "string"), ("suffix", "string"), ("host", "string"))])
     rows = materialise(read_pages(pages, langs, logs), "page-evidence")
     whole = rows.agg(*[F.sum(F.col("post")[k]).alias(str(k)) for k in range(n)]).first()
-    total = np.array([x or 0.0 for x in whole]) + 0.5
-    base = F.array(*[F.lit(float(x)) for x in total / total.sum()])
-    hosts = _sums(rows, ["host", "domain"], n)
-    domains = hosts.groupBy("domain").agg(F.array(*[F.sum(F.col("c")[k]) for k in range(n)]).alias("d"))
-    domains = domains.select("domain", _smoothed(F.col("d"), base).alias("up"))
-    priors = hosts.join(domains, "domain").select("host", F.transform(_smoothed(F.col("c"), F.col("up")), lambda x: F.log(x)).alias("prior"))
-    # declared languages have two or three letters and the suffixes kept are counted: both tables have bounded sizes
-    kept = rows.groupBy("suffix").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "suffix").limit(TOP_SUFFIXES).select("suffix", F.lit(True).alias("known"))
-    rows = rows.join(F.broadcast(kept), "suffix", "left").withColumn("tld", F.when(F.col("known"), F.col("suffix")).otherwise(""))
-
-    def reliability(by: str, out: str) -> DataFrame:
-        """log P(value | language), smoothed over the values seen."""
-        seen = _sums(rows, [by], n)
-        values = F.array(*[F.log((F.col("c")[k] + 0.5) / F.lit(float(total[k]) + 1.0)) for k in range(n)])
-        return F.broadcast(seen.select(by, values.alias(out)))
-
+    total = F.array(*[F.lit(float(x or 0.0)) for x in whole])
+    hosts = materialise(_sums(rows, ["host", "domain"], n), "hosts")
+    domains = hosts.groupBy("domain").agg(F.array(*[F.sum(F.col("c")[k]) for k in range(n)]).alias("by_domain"))
+    # a domain may have very many hosts, a host or a suffix a third of all pages
+    by_host = join_hot(hosts, domains, "domain", F.col("host")).select("host", F.col("c").alias("by_host"), "by_domain")
+    by_suffix = _sums(rows, ["suffix"], n).withColumnRenamed("c", "by_suffix")
+    # declared languages have two or three letters, so there are few
+    by_markup = F.broadcast(_sums(rows, ["declared"], n).withColumnRenamed("c", "by_markup"))
+    fused = materialise(join_hot(rows, by_suffix, "suffix", F.col("page_id")), "page-suffix")
+    fused = join_hot(fused, by_host, "host", F.col("page_id")).join(by_markup, "declared")
+
+    def rest(c: Column) -> Column:
+        """Sums of all other pages; rounding may leave them a little below zero."""
+        return F.zip_with(c, "post", lambda x, own: F.greatest(x - own, F.lit(0.0)))
+
+    def smoothed(c: Column, prior: Column) -> Column:
+        size = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(c, prior, lambda x, p: (x + PSEUDO * p) / (size + PSEUDO))
+
+    def reliability(c: Column) -> Column:
+        """log P(value | language)."""
+        return F.zip_with(rest(c), rest(total), lambda x, t: F.log((x + 0.5) / (t + 1.0)))
+
+    base = smoothed(rest(total), F.array(*[F.lit(1.0 / n)] * n))
+    prior = F.transform(smoothed(rest(F.col("by_host")), smoothed(rest(F.col("by_domain")), base)), lambda x: F.log(x))
     # a page without a declaration is no evidence
-    fused = rows.join(reliability("declared", "by_markup"), "declared").join(reliability("tld", "by_suffix"), "tld")
-    add = F.zip_with(F.zip_with("likely", F.when(F.col("declared") == "", F.transform("by_markup", lambda x: F.lit(0.0))).otherwise(F.col("by_markup")), lambda a, b: a + b), "by_suffix", lambda a, b: a + b)
-    fused = materialise(fused.select("page_id", "host", "declared", "suffix", "post", add.alias("e")), "page-fused")
-    fused = join_hot(fused, priors, "host", F.col("page_id"))
-    score = F.zip_with("e", "prior", lambda a, b: a + b)
-    names = F.array(*map(F.lit, langs))
+    markup = F.when(F.col("declared") == "", F.transform("post", lambda x: F.lit(0.0))).otherwise(reliability(F.col("by_markup")))
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    fused = fused.withColumn("z", add(add(F.col("likely"), markup), add(reliability(F.col("by_suffix")), prior)))
     best = F.array_max("z")
     spread = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("best")))
-    fused = fused.withColumn("z", score).withColumn("best", best)
+    fused = fused.withColumn("best", best)
+    names = F.array(*map(F.lit, langs))
     return fused.select(
         "page_id",
         names[(F.array_position("z", F.col("best")) - 1).cast("int")].alias("lang"),
@@ -155,4 +172,4 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    return stored(spark, "page-languages", lambda: identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")))

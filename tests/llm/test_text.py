@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from catalith.llm import bpe, katz, langid, licenses, quality, toxicity
@@ -242,33 +243,79 @@ def test_language_id(spark):
     assert langid.identify(pages.where("false"), docs).count() == 0
 
 
+def test_registered_domains(spark):
+    hosts = ["a.b.example.com", "example.com", "www.shop.co.uk", "co.uk", "10.0.0.1", "localhost", "", "x.com.au.example.org"]
+    rows = spark.createDataFrame([(k, h) for k, h in enumerate(hosts)], "k int, host string").select("k", langid.registered(F.col("host")).alias("d")).orderBy("k").collect()
+    assert [r["d"] for r in rows] == ["example.com", "example.com", "shop.co.uk", "co.uk", "10.0.0.1", "localhost", "", "example.org"]
+
+
+def plain_text_model(docs):
+    """Trigram counts by language, hashed as the operator's places are, counted one by one."""
+    counts = {}
+    for lang, text in docs:
+        if lang is not None:
+            c = counts.setdefault(lang, collections.Counter())
+            raw = b" ".join((text or "").encode().lower().split())
+            for k in range(len(raw) - 2):
+                c[raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]] += 1
+    places = {g: (g * 0x9E3779B97F4A7C15 % 2**64) >> (64 - langid.BITS) for c in counts.values() for g in c}
+    by_place = {}
+    for lang, c in counts.items():
+        own = by_place.setdefault(lang, collections.Counter())
+        for g, n in c.items():
+            own[places[g]] += n
+    return by_place
+
+
 def test_language_id_posterior(spark):
-    """The fused posterior is the normalised product of its parts, recomputed here row by row."""
+    """The fused posterior, recomputed page by page from the texts, with each page's own share taken out of all sums."""
     docs, pages = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/pages.parquet")
-    langs, logs = langid.text_models(docs)
-    rows = langid.read_pages(pages, langs, logs).collect()
-    post = np.array([r["post"] for r in rows])
-    total = post.sum(axis=0) + 0.5
-    base = total / total.sum()
-    P = langid.PSEUDO
-
-    def sums(key):
-        out = collections.defaultdict(lambda: np.zeros(len(langs)))
-        for r, p in zip(rows, post, strict=True):
-            out[r[key]] += p
-        return out
-
-    hosts, domains, marks, tlds = sums("host"), sums("domain"), sums("declared"), sums("suffix")
+    model = plain_text_model([(r["lang"], r["text"]) for r in docs.collect()])
+    langs = sorted(model)
+    size = {x: sum(model[x].values()) + 0.5 * 2**langid.BITS for x in langs}
+    P, n, rows = langid.PSEUDO, len(langs), []
+    for r in pages.collect():
+        text = langid.visible((r["html"] or "").encode())
+        likely = np.zeros(n)
+        for k in range(len(text) - 2):
+            place = ((text[k] << 16 | text[k + 1] << 8 | text[k + 2]) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - langid.BITS)
+            likely += [langid.TEMPER * math.log((model[x][place] + 0.5) / size[x]) for x in langs]
+        likely -= likely.max()
+        post = np.exp(likely) / np.exp(likely).sum()
+        host = re.match(r"[a-z]+://([^/:?#]*)", r["url"])[1].lower()
+        labels = host.split(".")
+        rows.append((r["page_id"], likely, post, host, ".".join(labels[-2:]), labels[-1], langid.declared(r["html"].encode())))
+    sums = [collections.defaultdict(lambda: np.zeros(n)) for _ in range(4)]
+    total = sum(x[2] for x in rows)
+    for x in rows:
+        for s, key in zip(sums, x[3:], strict=True):
+            s[key] += x[2]
     want = {}
-    for r in rows:
-        up = (domains[r["domain"]] + P * base) / (domains[r["domain"]].sum() + P)
-        z = np.array(r["likely"]) + np.log((hosts[r["host"]] + P * up) / (hosts[r["host"]].sum() + P)) + np.log((tlds[r["suffix"]] + 0.5) / (total + 1))
-        if r["declared"]:
-            z = z + np.log((marks[r["declared"]] + 0.5) / (total + 1))
+    for i, likely, post, *keys in rows:
+        host, domain, suffix, mark = (np.maximum(s[k] - post, 0) for s, k in zip(sums, keys, strict=True))
+        rest = total - post
+        up = (rest + P / n) / (rest.sum() + P)
+        up = (domain + P * up) / (domain.sum() + P)
+        z = likely + np.log((host + P * up) / (host.sum() + P)) + np.log((suffix + 0.5) / (rest + 1))
+        if keys[3]:
+            z = z + np.log((mark + 0.5) / (rest + 1))
         z = np.exp(z - z.max())
-        want[r["page_id"]] = (langs[int(z.argmax())], z.max() / z.sum())
-    for r in langid.identify(pages, docs).collect():
-        assert r["lang"] == want[r["page_id"]][0] and abs(r["probability"] - want[r["page_id"]][1]) < 1e-6
+        want[i] = (langs[int(z.argmax())], z.max() / z.sum())
+    got = langid.identify(pages, docs).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r["lang"] == want[r["page_id"]][0] and abs(r["probability"] - want[r["page_id"]][1]) < 1e-4
+
+
+def test_language_id_awkward_pages(spark):
+    """Very long html, columns with clashing names, and one host that holds most pages."""
+    docs = spark.createDataFrame([(k, prose(200, k), "en") for k in range(5)] + [(9, "der die das und nicht wir " * 40, "de")], "doc_id long, text string, lang string")
+    rows = [(k, "http://one.example.com/", page("en", prose(30, k))) for k in range(90)] + [(900, "http://two.example.com/", page("de", "der die das und wir " * 20_000)), (900, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("host", "suffix", "declared", "post", "z", "lang", "domain", "c")})
+    got = langid.identify(pages, docs).collect()
+    assert len(got) == 92 and sum(r["lang"] == "en" for r in got) >= 90 and [r["lang"] for r in got if r["host"] == "two.example.com"] == ["de"]
+    with pytest.raises(ValueError):
+        langid.text_models(spark.range(langid.MAX_LANGS + 1).selectExpr("cast(id as string) as lang", "'x' as text"))
 
 
 def plain_licenses(text):
