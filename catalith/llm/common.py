@@ -106,6 +106,22 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+def labelled_ids(labels: DataFrame, label: str, rows: int, where: Callable[[Column], Column] | None = None) -> DataFrame:
+    """At most `rows` labelled ids (_id, y), those with the smallest hashes; the greatest of several labels of an id counts."""
+    picked = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("y")).where("_id is not null and y in (0, 1)")
+    if where is not None:
+        picked = picked.where(where(F.col("_id")))
+    return picked.groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+
+
+def texts_of(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """(doc_id, text, y) of picked ids, one row of each: that whose text has the smallest hash. The ids have a stated bound, so they are broadcast, and only
+    their texts are shuffled."""
+    found = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")
+    return found.groupBy("_id").agg(F.max("y").alias("y"), one).select(F.col("_id").alias("doc_id"), "one.text", "y")
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, spread: Column) -> DataFrame:
     """Left join of `left` with `right`, whose `key` is unique, when one key may hold a third of left's rows.
 

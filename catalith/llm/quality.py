@@ -4,11 +4,13 @@ A logistic regression on hashed word and character n-grams, trained on rows labe
 calibrated to probabilities on rows it was not trained on, and applied in Arrow batches against fixed thresholds.
 Besides it stand the base rules: at least 50 words, and at most half of them in repeated three-word windows.
 
-Training reads at most `SAMPLE_ROWS` labelled rows (a documented bound; the rows with the smallest hashed ids), so
+Training reads at most `SAMPLE_ROWS` labelled rows (a documented bound; the smallest hashed ids, one row of an id), so
 the data sent to the driver and the broadcast model have fixed sizes. Scoring reads every row and whole texts.
 
 Defined cases. Null text counts as no words (rejected by the base rules). A null label or a label of an absent
-document is not used. With no usable labels, or only one class, every text that passes the base rules is kept.
+document is not used; of conflicting labels of one id the better one counts. Of rows that repeat an id, the one whose text has the smallest hash is
+read. Every row is scored, repeated ones too. Columns with other names are not read. With no usable labels, or only one class, every text that passes the base rules is kept.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, gram_hashes, map_arrow, raw_texts, sigmoid, slot, table, word_hashes
+from .common import fit_logistic, gram_hashes, labelled_ids, map_arrow, raw_texts, sigmoid, slot, table, texts_of, word_hashes
 
-SAMPLE_ROWS = 2048
+SAMPLE_ROWS = 4096
 BITS = 16
 SCALE = 40.0
 L2 = 0.5
@@ -45,16 +47,6 @@ def sparse(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, (n * (SCALE / max(1, n.sum()))).astype(np.float32)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, where=None) -> DataFrame:
-    """At most `rows` labelled documents (doc_id, text, y), picked by hashed id. The picked ids are few enough to
-    broadcast by that bound, so the texts are read once and not shuffled."""
-    picked = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("y")).where("_id is not null and y in (0, 1)")
-    if where is not None:
-        picked = picked.where(where(F.col("_id")))
-    picked = picked.groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(picked), "_id").withColumnRenamed("_id", "doc_id")
-
-
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     """Weights, bias, and the calibration's slope and offset."""
 
@@ -62,7 +54,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         rows = [sparse(raw) for raw in raw_texts(batch["text"])]
         return pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "y": batch["y"], "at": pa.array([i.astype(np.int32) for i, _ in rows], pa.list_(pa.int32())), "v": pa.array([v for _, v in rows], pa.list_(pa.float32()))})
 
-    got = map_arrow(labelled_sample(docs, labels, "quality", sample_rows), features, "doc_id long, y int, at array<int>, v array<float>").toArrow()
+    got = map_arrow(texts_of(docs, labelled_ids(labels, "quality", sample_rows)), features, "doc_id long, y int, at array<int>, v array<float>").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     y = got["y"].to_numpy()[order].astype(float)
     if len(set(y)) < 2:

@@ -8,11 +8,12 @@ import pytest
 import zstandard
 
 import corpus_pipeline
-from catalith.llm import exact_dedup, quality, simhash, toxicity, warc
+from catalith.llm import exact_dedup, quality, toxicity, warc
 from catalith.llm.common import release, written
 from catalith.llm.queries import QUERIES, SQL
 from tests.conftest import SF
 from tests.llm.helpers import awkward, empty, prose, save
+from tests.llm.test_dedup import plain_similar
 
 
 def pages(spark):
@@ -140,21 +141,10 @@ def test_stages_like_brute_force(spark, tmp_path):
     for i in sorted(texts):
         first.setdefault(b" ".join(texts[i].split()), i)
     assert sorted(r["doc_id"] for r in corpus_pipeline.exact_duplicates(spark, docs, d).collect()) == sorted(first.values())
-    fps = {i: simhash.fingerprint(raw, simhash.SIMILAR) for i, raw in texts.items()}
-    parent = {i: i for i in texts}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in texts:
-        for j in texts:
-            if i < j and (int.from_bytes(fps[i], "big") ^ int.from_bytes(fps[j], "big")).bit_count() <= simhash.SIMILAR.max_bits:
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
+    ids = sorted(texts)
+    least = plain_similar([texts[i].decode() for i in ids])
     near = corpus_pipeline.near_duplicates(spark, docs, d)
-    assert near.columns == docs.columns and sorted(r["doc_id"] for r in near.collect()) == sorted({root(i) for i in texts})
+    assert near.columns == docs.columns and sorted(r["doc_id"] for r in near.collect()) == sorted({ids[k] for k in least})
 
 
 def test_awkward_documents_pass_all_stages(spark, tmp_path):
@@ -187,6 +177,46 @@ def test_queries_have_their_columns(spark):
         assert sorted(str([r[c] for c in want.columns]) for r in df.collect()) == sorted(str(list(r)) for r in want.fetchall())
 
 
+def test_two_runs_at_once(spark, tmp_path):
+    """Both results read after both runs, and each is all that its run leaves."""
+    make_tables(spark, tmp_path)
+    release(spark)
+    first, second = (corpus_pipeline.run(spark, str(tmp_path)) for _ in range(2))
+    assert first.count() == second.count() == 120 and len(written()) == 2
+    release(spark)
+    assert not written()
+
+
+def test_queries_leave_their_result_only(spark):
+    for name in ("op1_langid", "op3_katz", "op4_simhash", "op5_packing", "op6_exact_dedup"):
+        release(spark)
+        df = QUERIES[name](spark, SF)
+        assert len(written()) == 1 and df.count() > 0
+    release(spark)
+
+
+def test_no_shared_folder_off_one_machine(spark, monkeypatch):
+    """Without a folder that executors share, a session on a cluster gets an error, not one machine's own folder."""
+    from types import SimpleNamespace
+
+    from catalith.llm import common
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://h:7077", getConf=lambda: SimpleNamespace(get=lambda *_: None)))
+    with pytest.raises(RuntimeError):
+        common.shared_dir(bare)
+
+
+def test_near_duplicates_of_all_documents(spark):
+    """On all documents of sf0.01: who is dropped has a path of similar texts, and no similar pair is left apart."""
+    from catalith.llm import simhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    least = plain_similar([t for _, t in rows])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs, profile=simhash.SIMILAR).collect()}
+    assert [got[i] for i, _ in rows] == [rows[k][0] for k in least]
+
+
 def test_scratch_is_released(spark):
     release(spark)
     exact_dedup.exact_groups(awkward(spark)).count()
