@@ -38,6 +38,12 @@ BOUND = {
     "news": f"SELECT event_id AS id, user_id AS doc_id, CAST(1 AS BIGINT) AS doc_type_id, {_DATE.format('ts')} AS published, event_type AS title, CAST(event_id % 10 AS INT) AS sort, 1 AS enabled FROM {{events}}",
     "vehicle_action": "SELECT p_partkey AS doc_id, CAST(p_size AS INT) AS sort, 20200101 AS published, p_name AS title, 1 AS enabled FROM {part}",
     "chassis_document": "SELECT p_partkey AS doc_id, p_partkey % 10 AS area, p_partkey * 100 AS serial_from, p_partkey * 100 + 99999 AS serial_to FROM {part}",
+    "document_file": "SELECT l_orderkey AS doc_id, concat('F', CAST(l_linenumber AS STRING)) AS file_name, l_returnflag AS device_type, CAST(l_suppkey AS STRING) AS device_code FROM {lineitem}",
+    "doc_type_applicability": "SELECT CAST(CASE WHEN l_suppkey % 10 = 0 THEN 100 ELSE 200 END AS BIGINT) AS doc_type_id, CASE WHEN l_suppkey % 10 = 0 AND l_linenumber = 7 THEN 0 ELSE l_suppkey END AS series_id, l_partkey % 50 AS model_id FROM {lineitem}",
+    "lead_type": "SELECT p_partkey AS type_id, CAST(p_size % 5 AS INT) AS lead_type FROM {part}",
+    "path": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_regionkey AS INT) AS sort, CAST(n_nationkey % 2 AS INT) AS enabled FROM {nation}",
+    "group_applicability": "SELECT CAST(1 AS BIGINT) AS path_id, CAST(n_nationkey + 100 AS BIGINT) AS node_id, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 7 ELSE 8 END AS BIGINT) AS series_id FROM {nation}",
+    "image_blob": "SELECT concat('PAGE/', CAST(page_id AS STRING), '.PNG') AS id, '' AS path, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'image/webp' END AS content_type, {bytes} AS data FROM {pages}",
     "doc_blob": "SELECT concat('PAGE/', CAST(page_id AS STRING), '.RTF') AS id, '' AS path, 'application/rtf' AS content_type, {bytes} AS data FROM {pages}",
 }
 # parts as documents, with the order lines' hotspots and references

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .schemas import PARTITIONED, SCHEMAS, source_table
+from .schemas import LOADED, PARTITIONED, SCHEMAS, source_table
 
 # fixed value: the source's names of table families
 _FAMILY = re.compile(r"(TZUKN|TGRR|THGR|TKNHG)\d{6}")
@@ -19,6 +19,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, tables: dict[str, DataFrame] | None = None) -> None:
         self.spark, self.folder, self.tables = spark, folder, dict(tables or {})
+        self._loaded: set[tuple[str, int]] | None = None
 
     def has(self, name: str) -> bool:
         if name not in self.tables and self.folder is not None:
@@ -33,10 +34,16 @@ class Catalog:
 
     def partition(self, name: str, doc_type_id: int) -> DataFrame | None:
         """One document type's part of a partitioned table, or None where the source has no such table."""
-        if name not in PARTITIONED or not self.has(name):
+        if name not in PARTITIONED:
             return None
         part = self.table(name).where(F.col("doc_type_id") == doc_type_id)
-        return None if part.isEmpty() else part
+        return part if (name, doc_type_id) in self.loaded() or not part.isEmpty() else None
+
+    def loaded(self) -> set[tuple[str, int]]:
+        """The family tables that were loaded, which may have no rows; one per document type, so they are few."""
+        if self._loaded is None:
+            self._loaded = {(r["name"], r["doc_type_id"]) for r in self.table(LOADED).distinct().collect()}
+        return self._loaded
 
     def resolve(self, source_name: str) -> DataFrame | None:
         """A family table by its source name: checked against the allowed names, None if malformed or absent."""

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import rtf_to_html
+from . import rtf_links, rtf_to_html
 from .lexer import tokens
 
 # fixed values: marks in texts, in the order in which they are replaced
@@ -25,6 +25,16 @@ def render_html(c: Column, marks: dict[str, str] | None = None, image_base: str
     return render(c)
 
 
+def link_texts(c: Column, marks: dict[str, str] | None = None) -> Column:
+    """The texts of a document's links, the first being link 1."""
+
+    @F.pandas_udf("array<string>")
+    def texts_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else rtf_links(x, marks))
+
+    return texts_of(c)
+
+
 def token_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, kind, word, param) for every token."""
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.catalog import Catalog
+from catalith.functions.rtf.columns import link_texts
+from catalith.operators.documents import document_text
 from catalith.plans.applicability import Vehicle, applicable
 from catalith.schemas import ENABLED
 
@@ -32,6 +34,13 @@ def links(documents: DataFrame, html: str, key: str, pattern: str = r'href="([^"
     return documents.select(key, found.alias("pos", "link")).select(key, (F.col("pos") + 1).alias("number"), "link")
 
 
-def resolve_links(links_: DataFrame, spots: DataFrame, key: str) -> DataFrame:
-    """Links with the targets of the hotspot of their number."""
-    return links_.join(spots.withColumnRenamed("source_id", key), [key, "number"])
+def text_links(documents: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, number, link) for the links of rich texts as they are rendered, numbered from 1."""
+    found = F.posexplode(link_texts(F.col(text)))
+    return documents.select(key, found.alias("pos", "link")).select(key, (F.col("pos") + 1).alias("number"), "link")
+
+
+def resolved_links(catalog: Catalog, doc_id: int, name: str, vehicle: Vehicle = Vehicle()) -> DataFrame:
+    """The links of a stored text with the documents that the hotspots of their numbers lead to; a link without any has none."""
+    numbered = text_links(document_text(catalog, name), "text", "id").select("number", "link")
+    return numbered.join(hotspots(catalog, doc_id, vehicle), "number", "left").orderBy("number", "id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.catalog import Catalog
+from catalith.functions.rtf.columns import render_html
 from catalith.functions.scalars import CODE, TYPED_CODE, code_prefix, latin1
 from catalith.plans.applicability import Vehicle, applicable
 from catalith.schemas import ENABLED, PUBLIC, SCHEMAS
@@ -89,6 +90,11 @@ def document_text(catalog: Catalog, name: str) -> DataFrame:
     return found.select("id", latin1(F.col("data")).alias("text"))
 
 
+def document_html(catalog: Catalog, name: str, marks: dict[str, str] | None = None, image_base: str = "/api/images") -> DataFrame:
+    """The text of a stored document as HTML, with a vehicle's values for its marks."""
+    return document_text(catalog, name).select("id", render_html(F.col("text"), marks, image_base).alias("html"))
+
+
 def image(catalog: Catalog, name: str) -> DataFrame:
     found = catalog.lookup("image_blob", "id", name.upper())
     return found.select("id", F.coalesce(F.nullif("content_type", F.lit("")), F.lit("image/png")).alias("content_type"), "data")

@@ -38,8 +38,10 @@ def selectable_series(catalog: Catalog, doc_type_id: int | None = None) -> DataF
     rows = catalog.table("vehicle_model").select("series_id", "series_name").distinct()
     if doc_type_id is None:
         return rows.orderBy("series_name", "series_id")
-    named = catalog.table("doc_type_applicability").where(F.col("doc_type_id") == doc_type_id).select(F.col("series_id").alias("named")).distinct()
-    return rows.join(named, (F.col("series_id") == F.col("named")) | (F.col("named") == ALL_VEHICLES), "left_semi").orderBy("series_name", "series_id")
+    named = catalog.table("doc_type_applicability").where(F.col("doc_type_id") == doc_type_id).select("series_id").distinct()
+    for_all = F.broadcast(named.where(F.col("series_id") == ALL_VEHICLES).limit(1).select(F.lit(True).alias("_all")))
+    everything = rows.withColumn("_all", F.lit(True)).join(for_all, "_all", "left_semi").drop("_all")
+    return rows.join(named, "series_id", "left_semi").unionByName(everything).distinct().orderBy("series_name", "series_id")
 
 
 def type_details(catalog: Catalog, vehicle: Vehicle, date: int | None = None) -> DataFrame:

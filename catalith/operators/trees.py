@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.catalog import Catalog
 from catalith.plans.applicability import Vehicle, applicable_nodes
+from catalith.plans.stored import stored
 from catalith.schemas import ENABLED, SYMPTOM_PARENT, SYMPTOM_PATH
 
-MAX_LEVELS = 100
-
 
 def path_nodes(catalog: Catalog) -> DataFrame:
     """The enabled nodes of the symptom path."""
@@ -49,40 +45,29 @@ def symptom_nodes(catalog: Catalog, parent_id: int, vehicle: Vehicle = Vehicle()
     return _shown(_with_children(level, nodes)).drop("sort")
 
 
-def descendants(nodes: DataFrame, root_id: int, levels: int = MAX_LEVELS) -> DataFrame:
-    """All rows of `nodes` (node_id, parent_id, ...) below a node: one recursive query, each row once.
-
-    For trees and graphs without cycles up to `levels` deep; `reachable` has no such limits."""
-    view = f"nodes_{uuid.uuid4().hex}"
-    nodes.createOrReplaceTempView(view)
-    columns = ", ".join(f"n.`{c}`" for c in nodes.columns)
-    return nodes.sparkSession.sql(
-        f"WITH RECURSIVE below MAX RECURSION LEVEL {levels} AS (SELECT {columns} FROM {view} n WHERE n.parent_id = :root"
-        f" UNION ALL SELECT {columns} FROM {view} n JOIN below b ON n.parent_id = b.node_id) SELECT DISTINCT * FROM below",
-        args={"root": root_id},
-    )
-
-
-def reachable(nodes: DataFrame, root_id: int) -> DataFrame:
-    """descendants() with set semantics: the frontier grows by rows not yet seen, so cycles end it. Each round is
-    checkpointed in the folder spark.checkpoint.dir names."""
-    session = nodes.sparkSession
-    if session.sparkContext.getCheckpointDir() is None:
-        # only a session that names no folder, as in tests on one machine, gets one of its own
-        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    seen = frontier = nodes.where(F.col("parent_id") == root_id).distinct().checkpoint()
+def _walk(start: DataFrame, step) -> DataFrame:
+    """All rows reached from `start` by `step`, with set semantics: a frontier holds rows not seen before, so cycles end it, and
+    no number of rows or levels does. Only frontiers are stored, each once."""
+    seen = frontier = stored(start.distinct(), "frontier")
     while not frontier.isEmpty():
-        ids = frontier.select(F.col("node_id").alias("parent_id")).distinct()
-        frontier = nodes.join(ids, "parent_id", "left_semi").select(*nodes.columns).distinct().exceptAll(seen).checkpoint()
-        seen = seen.unionByName(frontier).checkpoint()
+        frontier = stored(step(frontier).distinct().exceptAll(seen), "frontier")
+        seen = seen.unionByName(frontier)
     return seen
 
 
-def symptom_tree(catalog: Catalog, root_id: int, vehicle: Vehicle = Vehicle(), cyclic: bool = False) -> DataFrame:
+def descendants(nodes: DataFrame, root_id: int) -> DataFrame:
+    """All rows of `nodes` (node_id, parent_id, ...) below a node, each once."""
+
+    def children(frontier: DataFrame) -> DataFrame:
+        return nodes.join(frontier.select(F.col("node_id").alias("parent_id")).distinct(), "parent_id", "left_semi").select(*nodes.columns)
+
+    return _walk(nodes.where(F.col("parent_id") == root_id), children)
+
+
+def symptom_tree(catalog: Catalog, root_id: int, vehicle: Vehicle = Vehicle()) -> DataFrame:
     """Everything below a root. With a vehicle each node on the way must fit, so the nodes are filtered first."""
     nodes = path_nodes(catalog)
-    walk = reachable if cyclic else descendants
-    return _shown(_with_children(walk(_applicable(catalog, nodes, vehicle), root_id), nodes))
+    return _shown(_with_children(descendants(_applicable(catalog, nodes, vehicle), root_id), nodes))
 
 
 def assemble(tree: DataFrame) -> DataFrame:
@@ -91,22 +76,18 @@ def assemble(tree: DataFrame) -> DataFrame:
     return tree.groupBy("parent_id").agg(F.sort_array(F.collect_list(child)).alias("children"))
 
 
-def search_tree(tree: DataFrame, term: str, nodes: DataFrame | None = None) -> DataFrame:
-    """The nodes whose name contains the term and their ancestors, with `expanded`: a kept node below it.
-
-    `nodes` (id, parent_id), if given, is a stored table with all edges of the tree: climbing it spares the tree's own
-    recursion at every step."""
+def search_tree(tree: DataFrame, term: str) -> DataFrame:
+    """The nodes whose name contains the term and their ancestors, with `expanded`: a kept node below it."""
     term = term.strip().lower()
     if not term:
         return tree.withColumn("expanded", F.lit(False))
-    hits = tree.where(F.contains(F.lower("name"), F.lit(term)))
-    view, hit_view = f"tree_{uuid.uuid4().hex}", f"hits_{uuid.uuid4().hex}"
-    (tree if nodes is None else nodes).select("id", "parent_id").createOrReplaceTempView(view)
-    hits.select("id", "parent_id").createOrReplaceTempView(hit_view)
-    kept = tree.sparkSession.sql(
-        f"WITH RECURSIVE up MAX RECURSION LEVEL {MAX_LEVELS} AS (SELECT id, parent_id FROM {hit_view}"
-        f" UNION ALL SELECT t.id, t.parent_id FROM {view} t JOIN up u ON t.id = u.parent_id) SELECT DISTINCT id, parent_id FROM up"
-    )
-    parents = kept.select(F.col("parent_id").alias("id"), F.lit(True).alias("_up")).distinct()
-    rows = tree.join(kept.select("id").distinct(), "id", "left_semi").join(parents, "id", "left")
+    tree = stored(tree, "tree")
+    edges = tree.select("id", "parent_id")
+
+    def parents(frontier: DataFrame) -> DataFrame:
+        return edges.join(frontier.select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi")
+
+    kept = _walk(tree.where(F.contains(F.lower("name"), F.lit(term))).select("id", "parent_id"), parents)
+    above = kept.select(F.col("parent_id").alias("id"), F.lit(True).alias("_up")).distinct()
+    rows = tree.join(kept.select("id").distinct(), "id", "left_semi").join(above, "id", "left")
     return rows.withColumn("expanded", F.coalesce("_up", F.lit(False))).drop("_up").select(*tree.columns, "expanded")

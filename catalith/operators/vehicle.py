@@ -56,12 +56,17 @@ def variants(catalog: Catalog, vehicle: Vehicle) -> DataFrame:
     return out.crossJoin(F.broadcast(span.select(text.alias("model_year"))))  # both sides have one row
 
 
+BIN = 4096
+
+
 def chassis_types(vins: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
     """For rows with area and serial, the type and production date of the range that holds the serial, both ends
     included; of several, the one with the lowest type."""
-    r = ranges.select(F.col("area").alias("r_area"), "serial_from", "serial_to", "type_id", "produced")
-    on = (F.col("area") == F.col("r_area")) & F.col("serial").between(F.col("serial_from"), F.col("serial_to"))
-    hits = vins.join(r, on).groupBy(*by).agg(F.min(F.struct("type_id", "produced")).alias("hit"))
+    # serials and ranges meet by bins, so a number is compared with the ranges near it only
+    held = F.sequence(F.expr(f"serial_from div {BIN}"), F.expr(f"serial_to div {BIN}"))
+    r = ranges.where("serial_from <= serial_to").select("area", F.explode(held).alias("bin"), "serial_from", "serial_to", "type_id", "produced")
+    near = vins.withColumn("bin", F.expr(f"serial div {BIN}")).join(r, ["area", "bin"])
+    hits = near.where(F.col("serial").between(F.col("serial_from"), F.col("serial_to"))).groupBy(*by).agg(F.min(F.struct("type_id", "produced")).alias("hit"))
     return hits.select(*by, "hit.type_id", "hit.produced")
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from catalith.bindings import BOUND, PARTS, catalog, ctes
 from catalith.functions.rtf.columns import placeholders, render_html, token_rows
-from catalith.functions.scalars import date_text, id_of, ids_of, image_path, mime_type, node_key, node_label, parse_node_key
-from catalith.operators import crossref, documents, legacy, navigation, search, trees, vehicle
+from catalith.catalog import family_suffix
+from catalith.functions.scalars import code_search_input, date_text, id_of, ids_of, image_path, label_map, mime_type, node_key, node_label, parse_node_key
+from catalith.operators import crossref, documents, favourites, legacy, navigation, search, trees, vehicle
 from catalith.plans.applicability import Vehicle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,11 +79,22 @@ def symptom_documents(spark, d):
     return documents.symptom_documents(catalog(spark, d), 4, CAR)
 
 
-@query(f"{ctes('document')} SELECT id, code, doc_type_id, title, published, security, 0 AS files FROM b_document WHERE id = 77")
+@query(f"""{ctes('document', 'document_file')} SELECT o.id, o.code, o.doc_type_id, o.title, o.published, o.security,
+  (SELECT string_agg(file_name || ' ' || device_type || ' ' || device_code || ' /api/docs/' || file_name || '.rtf', ',' ORDER BY file_name, device_type, device_code) FROM b_document_file f WHERE f.doc_id = o.id) AS files
+FROM b_document o WHERE o.id = 7""")
 def document_detail(spark, d):
-    c = catalog(spark, d)
-    c.tables["document_file"] = spark.createDataFrame([], "doc_id long, file_name string, device_type string, device_code string")
-    return documents.document(c, 77).withColumn("files", F.size("files"))
+    shown = F.transform("files", lambda f: F.concat_ws(" ", f["file_name"], f["device_type"], f["device_code"], f["text_url"]))
+    return documents.document(catalog(spark, d), 7).withColumn("files", F.array_join(shown, ","))
+
+
+@query(f"{ctes('doc_type')} SELECT id, code, name FROM b_doc_type WHERE id = 1600")
+def doc_type_by_id(spark, d):
+    return documents.doc_types(catalog(spark, d), 1600).select("id", "code", "name")
+
+
+@query("SELECT concat('PAGE/', CAST(page_id AS VARCHAR), '.PNG') AS id, 'image/png' AS content_type, CAST(strlen(html) AS BIGINT) AS bytes FROM pages WHERE page_id = 16")
+def image_lookup(spark, d):
+    return documents.image(catalog(spark, d), "page/16.png").select("id", "content_type", F.octet_length("data").cast("long").alias("bytes"))
 
 
 @query(f"{ctes('doc_type')} SELECT id, code, name, sort, CASE WHEN id = 1600 THEN 'IB' ELSE '' END AS code_prefix FROM b_doc_type")
@@ -222,9 +234,7 @@ def symptom_tree_vehicle(spark, d):
 up AS (SELECT node_id, parent_id FROM below WHERE lower(name) LIKE '%012%' UNION SELECT t.node_id, t.parent_id FROM below t JOIN up u ON t.node_id = u.parent_id)
 SELECT DISTINCT t.node_id AS id, t.name, t.parent_id, CASE WHEN t.node_id IN (SELECT parent_id FROM up) THEN 1 ELSE 0 END AS expanded FROM below t WHERE t.node_id IN (SELECT node_id FROM up)""")
 def tree_search(spark, d):
-    c = catalog(spark, d)
-    edges = trees.path_nodes(c).select(F.col("node_id").alias("id"), "parent_id").where("id > 0")
-    found = trees.search_tree(trees.symptom_tree(c, -1), " 012 ", edges)
+    found = trees.search_tree(trees.symptom_tree(catalog(spark, d), -1), " 012 ")
     return found.select("id", "name", "parent_id", F.col("expanded").cast("int").alias("expanded"))
 
 
@@ -246,27 +256,56 @@ def group_search(spark, d):
     return search.search_groups(rows, "Brand#1 red").select("id", "code", "name")
 
 
-@query("SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents")
-def line_tokens(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n"))
-
-
-_RTF = r"concat('{\\rtf1 \\b ', lang, '\\b0  ', source, '\\par \\strike 00\\~0\\strike0  ', replace(replace(replace(replace(text, '\\', ' '), '{', ' '), '}', ' '), chr(10), '\\par '), '}')"
+# texts as rich text: styles, a mark, a table row, a link with a blank inside, indented paragraphs; and the HTML that must come of them
+_PLAIN = r"replace(replace(replace(replace(replace(text, '\\', ' '), '{', ' '), '}', ' '), chr(13), ''), chr(10), '{break}')"
+_RTF = rf"""concat('{{\\rtf1 \\b ', lang, '\\b0  ', source, ' --TYP--\\par \\trowd\\trleft100\\cellx1100\\cellx3100\\intbl ', lang, '\\cell \\i ', source, '\\i0\\cell\\row ',
+  '\\pard\\li200 \\strike 00\\~', CAST(doc_id AS STRING), '\\strike0  ', {_PLAIN.replace('{break}', chr(92) * 2 + 'par ')}, '}}')"""
+_LINES = r"string_split(replace(replace(replace(replace(replace(replace(replace(replace(text, '\', ' '), '{', ' '), '}', ' '), chr(13), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(10))".replace('\\"', '"')
+_CELL = '<td class="tis-text-cell" style="width:'
+_LINKED = '<a class="tis-cross-ref" data-hotspot="1" href="#">00'
+_HTML = f"""SELECT doc_id, '<p><strong>' || lang || '</strong> ' || source || ' E46</p>' || chr(10) || '<table class="tis-layout-table" style="margin-left:5pt;width:150pt">' || chr(10) || '<tbody>' || chr(10)
+  || '<tr>{_CELL}33.3%"><p>' || lang || '</p>' || chr(10) || '</td>{_CELL}66.7%"><p><em>' || source || '</em></p>' || chr(10) || '</td></tr>' || chr(10) || '</tbody>' || chr(10) || '</table>' || chr(10)
+  || '<p style="margin-left:10pt">{_LINKED}' || chr(160) || doc_id || '</a> ' || l[1] || '</p>' || chr(10)
+  || coalesce(list_aggregate(list_transform(list_filter(l[2:], lambda x: x <> ''), lambda x: '<p style="margin-left:10pt">' || x || '</p>' || chr(10)), 'string_agg', ''), '') AS html
+FROM (SELECT *, {_LINES} AS l FROM documents)"""
 
 
 def _rtf(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.expr(_RTF).alias("rtf"))
 
 
-@query()
+@query(_HTML)
 def rtf_render(spark, d):
     return _rtf(spark, d).select("doc_id", render_html(F.col("rtf"), placeholders(typ="E46")).alias("html"))
 
 
-@query(r"""SELECT doc_id, kind, word, count(*) AS n FROM (SELECT doc_id, unnest([{'kind': 'open', 'word': ''}, {'kind': 'word', 'word': 'rtf'}, {'kind': 'word', 'word': 'b'}, {'kind': 'word', 'word': 'b'}, {'kind': 'word', 'word': 'strike'}, {'kind': 'word', 'word': 'strike'}, {'kind': 'symbol', 'word': '~'}, {'kind': 'close', 'word': ''}], recursive := true) FROM documents
-UNION ALL SELECT doc_id, 'word', 'par' FROM documents, unnest(range(len(string_split(text, chr(10))))) u(i)) GROUP BY ALL""")
+_WORDS = [("rtf", 1), ("b", None), ("b", 0), ("par", None), ("trowd", None), ("trleft", 100), ("cellx", 1100), ("cellx", 3100), ("intbl", None), ("cell", None), ("i", None), ("i", 0), ("cell", None), ("row", None), ("pard", None), ("li", 200), ("strike", None), ("strike", 0)]
+_FIXED = ", ".join(["{'kind': 'open', 'word': ''}", "{'kind': 'close', 'word': ''}", "{'kind': 'symbol', 'word': '~'}", *(f"{{'kind': 'word', 'word': '{w}{'' if n is None else n}'}}" for w, n in _WORDS)])
+
+
+@query(rf"""WITH x AS (SELECT doc_id, lang, source, replace(replace(replace(replace(text, '\', ' '), '{{', ' '), '}}', ' '), chr(13), '') AS t FROM documents),
+y AS (SELECT *, string_split(t, chr(10)) AS l FROM x)
+SELECT doc_id, kind, word, count(*) AS n FROM (
+SELECT doc_id, unnest([{_FIXED}], recursive := true) FROM y
+UNION ALL SELECT doc_id, 'word', 'par' FROM y, unnest(range(len(l) - 1)) u(i)
+UNION ALL SELECT doc_id, 'text', unnest([lang, ' ' || source || ' --TYP--', lang, source, '00', CAST(doc_id AS VARCHAR), ' ' || l[1]]) FROM y
+UNION ALL SELECT doc_id, 'text', unnest(list_filter(l[2:], lambda x: x <> '')) FROM y) GROUP BY ALL""")
 def rtf_tokens(spark, d):
-    return token_rows(_rtf(spark, d), "doc_id", "rtf").where("kind <> 'text'").groupBy("doc_id", "kind", "word").agg(F.count("*").alias("n"))
+    found = token_rows(_rtf(spark, d), "doc_id", "rtf").withColumn("word", F.concat("word", F.coalesce(F.col("param").cast("string"), F.lit(""))))
+    return found.groupBy("doc_id", "kind", "word").agg(F.count("*").alias("n"))
+
+
+_NOTICE = {"doc_blob": r"SELECT concat('NOTE/', CAST(r_regionkey AS STRING), '.RTF') AS id, '' AS path, 'application/rtf' AS content_type, CAST(concat('{{\\rtf1 see \\strike part ', r_name, '\\strike0 , --MOTOR-- or \\strike the\\~other\\line\\strike third\\strike0 .}}') AS BINARY) AS data FROM {region}"}
+
+
+@query(f"""SELECT 'NOTE/' || r_regionkey || '.RTF' AS id, '<p>see <a class="tis-cross-ref" data-hotspot="1" href="#">part ' || r_name || '</a>, M50 or <a class="tis-cross-ref" data-hotspot="2" href="#">the' || chr(160) || 'other</a><br><a class="tis-cross-ref" data-hotspot="3" href="#">third</a>.</p>' || chr(10) AS html FROM region WHERE r_regionkey = 2""")
+def document_html(spark, d):
+    return documents.document_html(catalog(spark, d, _NOTICE), "note/2.rtf", placeholders(motor="M50"))
+
+
+@query(f"""{_SPOTS} SELECT l.number, l.link, s.id, s.code, s.doc_type_id, s.title FROM (SELECT unnest([1, 2, 3]) AS number, unnest(['part ASIA', 'the' || chr(160) || 'other', 'third']) AS link) l LEFT JOIN spots s USING (number)""")
+def resolved_links(spark, d):
+    return crossref.resolved_links(catalog(spark, d, {**PARTS, **_NOTICE}), 1, "note/2.rtf", SERIES)
 
 
 @query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
@@ -350,4 +389,98 @@ def legacy_series(spark, d):
     return legacy.selectable_series(catalog(spark, d))
 
 
+@query(f"""{ctes('chassis_range', 'vehicle_type', 'lead_type')} SELECT r.type_id, t.series_id, t.model_id, l.lead_type FROM (SELECT min(type_id) AS type_id FROM b_chassis_range WHERE area = 3 AND 20350 BETWEEN serial_from AND serial_to) r
+JOIN b_vehicle_type t USING (type_id) LEFT JOIN b_lead_type l USING (type_id)""")
+def legacy_chassis_lookup(spark, d):
+    return legacy.chassis_lookup(catalog(spark, d), 3, 20350).select("type_id", "series_id", "model_id", "lead_type")
+
+
+_ON_OFFER = """{ctes} SELECT DISTINCT series_id, series_name FROM b_vehicle_model m WHERE EXISTS (SELECT 1 FROM b_doc_type_applicability a WHERE a.doc_type_id = {t} AND a.series_id IN (0, m.series_id))"""
+
+
+@query(_ON_OFFER.format(ctes=ctes("vehicle_model", "doc_type_applicability"), t=200))
+def legacy_series_of_type(spark, d):
+    return legacy.selectable_series(catalog(spark, d), 200)
+
+
+@query(_ON_OFFER.format(ctes=ctes("vehicle_model", "doc_type_applicability"), t=100))
+def legacy_series_of_generic_type(spark, d):
+    return legacy.selectable_series(catalog(spark, d), 100)
+
+
+@query(f"{ctes('doc_type', 'doc_type_applicability')} SELECT t.id, t.code FROM b_doc_type t WHERE t.enabled = 1 AND EXISTS (SELECT 1 FROM b_doc_type_applicability a WHERE a.doc_type_id = t.id AND a.series_id IN (0, 7))")
+def legacy_type_details(spark, d):
+    return legacy.type_details(catalog(spark, d), SERIES).select("id", "code")
+
+
+@query(f"{ctes('path')} SELECT id, name, sort FROM b_path WHERE enabled = 1")
+def legacy_paths(spark, d):
+    return legacy.paths(catalog(spark, d)).select("id", "name", "sort")
+
+
+@query(f"{ctes('path_node', 'group_applicability')} SELECT DISTINCT n.node_id, n.name FROM b_path_node n JOIN b_group_applicability a ON a.node_id = n.node_id AND a.path_id = 1 AND a.series_id IN (0, 7) WHERE n.path_id = 1 AND n.parent_id = 2 AND n.enabled = 1 AND n.variant_value = 0")
+def legacy_path_children(spark, d):
+    return legacy.path_children(catalog(spark, d), 1, 2, SERIES).select("node_id", "name")
+
+
+@query(f"{ctes('document', 'applicability')} SELECT id, code, title FROM b_document WHERE doc_type_id = 3 AND enabled = 1 AND security <= 0 AND id IN (SELECT doc_id FROM b_applicability WHERE lead_type = 1)")
+def legacy_document_list(spark, d):
+    return legacy.document_list(catalog(spark, d), 3, lead_type=1, max_security=0).select("id", "code", "title")
+
+
+@query(f"{ctes('node_document', 'document_file', 'applicability')} SELECT count(DISTINCT g.doc_id) AS documents FROM b_node_document g JOIN b_document_file f ON f.doc_id = g.doc_id JOIN b_applicability a ON a.doc_id = g.doc_id AND {_FITS_SERIES} WHERE g.node_id = 3")
+def legacy_graphics_count(spark, d):
+    return legacy.graphics_count(catalog(spark, d), 3, SERIES)
+
+
+@query(f"{ctes('document', 'applicability')} SELECT id, title FROM b_document WHERE doc_type_id = 2 AND enabled = 1 AND id IN (SELECT doc_id FROM b_applicability a WHERE {_FITS_SERIES})")
+def legacy_browse_collected(spark, d):
+    c = catalog(spark, d)
+    legacy.collect_applicable(c, SERIES, "collected_documents")
+    return legacy.browse_collected(c, 2, "collected_documents").select("id", "title")
+
+
+# --- favourites, labels and inputs
+
+
+def _favourites(spark, d):
+    """Every tenth part as a document, with one more, renamed, and one removed."""
+    rows = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 10 = 0")
+    none = [F.lit(None).cast("long").alias(c) for c in ("series_id", "model_id", "engine_id")]
+    rows = rows.select(F.lit("document").alias("kind"), *none, F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("name"))
+    car = {"kind": "vehicle", "series_id": 7, "model_id": 70, "engine_id": 1, "name": "car"}
+    rows = favourites.add(favourites.add(rows, car), {**car, "name": "again"})
+    rows = favourites.add(rows, {"kind": "document", "doc_id": 20, "name": "is there"})
+    return favourites.remove(favourites.rename(rows, {"kind": "document", "doc_id": 10}, "renamed"), {"kind": "document", "doc_id": 30})
+
+
+@query("""SELECT 'document' AS kind, CAST(NULL AS BIGINT) AS series_id, p_partkey AS doc_id, CASE WHEN p_partkey = 10 THEN 'renamed' ELSE p_name END AS name FROM part WHERE p_partkey % 10 = 0 AND p_partkey <> 30
+UNION ALL SELECT 'vehicle', 7, NULL, 'car'""")
+def favourite_list(spark, d):
+    return _favourites(spark, d).select("kind", "series_id", "doc_id", "name")
+
+
+@query("SELECT 'document' AS kind, count(*) - 1 AS entries FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT 'vehicle', 1")
+def favourite_count(spark, d):
+    return favourites.count(_favourites(spark, d))
+
+
+@query("SELECT p_partkey AS id, CASE p_size WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE CAST(p_size AS VARCHAR) END AS label FROM part")
+def label_maps(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), label_map(F.col("p_size"), {1: "one", 2: "two"}).alias("label"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey > 0 THEN left(CAST(c_custkey * 7919 AS VARCHAR), 4) END AS digits FROM customer WHERE c_custkey <= 150")
+def code_inputs(spark, d):
+    keys = [r["c_custkey"] for r in spark.read.parquet(f"{d}/customer.parquet").where("c_custkey <= 150").select("c_custkey").collect()]
+    typed = [(k, f"{k * 7919:,}".replace(",", "-")) for k in keys]
+    return spark.createDataFrame([(k, code_search_input(text, "IB", 6, 4)) for k, text in typed], "id long, digits string")
+
+
+@query("SELECT r_regionkey AS id, lpad(CAST(r_regionkey * 400000 AS VARCHAR), CAST(greatest(6, length(CAST(r_regionkey * 400000 AS VARCHAR))) AS INT), '0') AS suffix FROM region")
+def family_suffixes(spark, d):
+    ids = [r["r_regionkey"] for r in spark.read.parquet(f"{d}/region.parquet").collect()]
+    return spark.createDataFrame([(k, family_suffix(k * 400000)) for k in ids], "id long, suffix string")
+
+
 __all__ = ["BOUND", "QUERIES", "SQL"]

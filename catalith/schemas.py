@@ -70,6 +70,9 @@ def _schema(name: str, spec: str) -> T.StructType:
 
 PARTITIONED = tuple(name for name, (source, _) in _SOURCES.items() if source.endswith("000000"))
 SCHEMAS = {name: _schema(name, spec) for name, (_, spec) in _SOURCES.items()}
+# which tables of families were loaded
+LOADED = "loaded_table"
+SCHEMAS[LOADED] = T.StructType([T.StructField("name", T.StringType()), T.StructField("doc_type_id", T.LongType())])
 SOURCE_COLUMNS = {name: {n: s for n, s, _ in _columns(spec)} for name, (_, spec) in _SOURCES.items()}
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions.scalars import mime_type
-from catalith.schemas import PARTITIONED, SCHEMAS, SOURCE_COLUMNS, source_table
+from catalith.plans.stored import exists, names
+from catalith.schemas import LOADED, PARTITIONED, SCHEMAS, SOURCE_COLUMNS, source_table
 
 DOCUMENTS = ["rtf"]
 IMAGES = ["png", "jpg", "jpeg", "gif", "webp"]
@@ -42,7 +43,8 @@ def load_exports(spark: SparkSession, folder: str, out: str) -> list[tuple[str,
     """Load every `<source table>.csv` of a folder. Returns (source, table, rows) or (source, error, -1): a table that
     cannot be read does not stop the others. Families become one table partitioned by document type."""
     log = []
-    for file in sorted(os.listdir(folder)):
+    loaded = []
+    for file in names(spark, folder):
         known = source_table(os.path.splitext(file)[0]) if file.lower().endswith(".csv") else None
         if known is None:
             continue
@@ -50,11 +52,17 @@ def load_exports(spark: SparkSession, folder: str, out: str) -> list[tuple[str,
         try:
             rows, _ = read_export(spark, f"{folder}/{file}", name, doc_type_id)
             # a family's table is replaced partition by partition, so loading again repeats nothing
-            writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            # rows lie by key, so that a lookup reads the row groups that may hold it
+            key = SCHEMAS[name].fields[0].name
+            writer = rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             (writer.partitionBy("doc_type_id") if name in PARTITIONED else writer).parquet(f"{out}/{name}")
             log.append((file, name, rows.count()))
+            if name in PARTITIONED:
+                loaded.append((name, doc_type_id))
         except Exception as e:  # one bad table is a warning
             log.append((file, f"{type(e).__name__}: {e}"[:200], -1))
+    if loaded:
+        spark.createDataFrame(loaded, SCHEMAS[LOADED]).write.mode("append").parquet(f"{out}/{LOADED}")
     return log
 
 
@@ -81,10 +89,11 @@ def import_files(spark: SparkSession, folder: str, extensions: list[str], existi
 
 
 def append_new(rows: DataFrame, table: str) -> None:
-    """Append the rows whose id a stored table does not have."""
+    """Append the rows whose id a stored table of any file system does not have, in order of their ids."""
     spark = rows.sparkSession
-    held = spark.read.parquet(table).select("id") if os.path.isdir(table) else None
-    (rows if held is None else rows.join(held, "id", "left_anti")).write.mode("append").parquet(table)
+    held = spark.read.parquet(table).select("id") if exists(spark, table) else None
+    new = rows if held is None else rows.join(held, "id", "left_anti")
+    new.repartitionByRange("id").sortWithinPartitions("id").write.mode("append").parquet(table)
 
 
 def unlzw(data: bytes) -> bytes:
@@ -190,16 +199,17 @@ def extract_data(tables: dict[str, DataFrame], what: str, out: str, id_: str | N
 
 
 def ingest(spark: SparkSession, source: str, out: str) -> dict[str, object]:
-    """Tables, then images, then documents. Missing tables are fatal, missing images or documents a warning."""
-    tables = f"{source}/DATA"
-    if not os.path.isdir(tables):
-        raise FileNotFoundError(tables)
+    """Tables, then images, then documents, from folders named in any case. Missing tables are fatal, missing images or documents a warning."""
+    folders = {x.upper(): f"{source}/{x}" for x in names(spark, source)}
+    if "DATA" not in folders:
+        raise FileNotFoundError(f"{source}/DATA")
+    tables = folders["DATA"]
     log: dict[str, object] = {"tables": load_exports(spark, tables, out), "warnings": []}
     for folder, kinds, name in (("GRAFIK", IMAGES, "image_blob"), ("DOCS", DOCUMENTS, "doc_blob")):
-        if not os.path.isdir(f"{source}/{folder}"):
+        if folder not in folders:
             log["warnings"].append(f"no {folder}")
             continue
-        rows = import_files(spark, f"{source}/{folder}", kinds)
+        rows = import_files(spark, folders[folder], kinds)
         append_new(decompressed(rows) if name == "doc_blob" else rows, f"{out}/{name}")
         log[name] = spark.read.parquet(f"{out}/{name}").count()
     return log

@@ -70,7 +70,6 @@ def test_symptom_trees(catalog):
     assert ids(trees.symptom_roots(catalog)) == [-1, -2]
     assert [(r["id"], r["has_children"]) for r in trees.symptom_nodes(catalog, -1).collect()] == [(1, True), (2, False)]
     assert ids(trees.symptom_tree(catalog, -1)) == [1, 3, 4, 2]
-    assert ids(trees.symptom_tree(catalog, -1, cyclic=True)) == [1, 3, 4, 2]
     only = trees.symptom_tree(catalog, -1, Vehicle(7)).collect()
     assert [(r["id"], r["has_children"]) for r in only] == [(1, True)]
     found = trees.search_tree(trees.symptom_tree(catalog, -1), "seal").collect()
@@ -80,7 +79,7 @@ def test_symptom_trees(catalog):
 def test_cycles_end(spark, catalog):
     extra = spark.createDataFrame([(1, 6, -1, 9, "a", None, 0, 0, 1), (1, 6, 6, 9, "a", None, 0, 0, 1)], catalog.table("path_node").schema)
     looped = Catalog(spark, tables={"path_node": catalog.table("path_node").union(extra)})
-    assert sorted(ids(trees.symptom_tree(looped, -1, cyclic=True))) == [1, 2, 3, 4, 6, 6]
+    assert sorted(ids(trees.symptom_tree(looped, -1))) == [1, 2, 3, 4, 6, 6]
 
 
 def test_groups(catalog):
@@ -197,9 +196,46 @@ def test_catalog(spark, catalog, tmp_path):
     assert "PartitionFilters: [isnotnull(doc_type_id" in plan
 
 
-def test_links(spark):
+def test_links(spark, catalog):
     rows = spark.createDataFrame([(1, '<a href="x"></a><a href="y"></a>'), (2, "")], "id long, html string")
-    links = crossref.links(rows, "html", "id")
-    spots = spark.createDataFrame([(1, 2, 30), (1, 3, 31)], "source_id long, number int, target_id long")
-    assert [(r["number"], r["link"], r["target_id"]) for r in crossref.resolve_links(links, spots, "id").collect()] == [(2, "y", 30)]
-    assert links.where(F.col("id") == 1).count() == 2
+    assert [(r["id"], r["number"], r["link"]) for r in crossref.links(rows, "html", "id").collect()] == [(1, 1, "x"), (1, 2, "y")]
+    texts = spark.createDataFrame([(1, r"\strike a\~b\strike0  x \strike c\line\strike d"), (2, "none"), (3, None)], "id long, text string")
+    assert [(r["id"], r["number"], r["link"]) for r in crossref.text_links(texts, "text", "id").collect()] == [(1, 1, "a\xa0b"), (1, 2, "c"), (1, 3, "d")]
+    blob = spark.createDataFrame([("N.RTF", "", "", b"\\strike one\\par\\strike two\\par\\strike three")], SCHEMAS["doc_blob"])
+    found = crossref.resolved_links(Catalog(spark, tables={**catalog.tables, "doc_blob": blob}), 1, "n.rtf").collect()
+    assert [(r["number"], r["link"], r["id"]) for r in found] == [(1, "one", 20), (1, "one", 21), (2, "two", 20), (3, "three", None)]
+    html = documents.document_html(Catalog(spark, tables={"doc_blob": blob}), "n.rtf").first()["html"]
+    assert html.count("data-hotspot") == 3 and documents.document_html(Catalog(spark, tables={"doc_blob": blob}), "absent.rtf").count() == 0
+
+
+def test_deep_and_wide_trees(spark):
+    """No number of levels or rows ends a walk."""
+    chain = spark.range(1, 40).selectExpr("id as node_id", "id - 1 as parent_id", "'c' as code", "'n' as name", "cast(id as int) as sort")
+    assert trees.descendants(chain, 0).count() == 39
+    wide = spark.range(1, 1_200_000).selectExpr("id as node_id", "cast(0 as bigint) as parent_id")
+    assert trees.descendants(wide, 0).count() == 1_199_999
+
+
+def test_an_empty_family_table_is_there(spark, tmp_path):
+    from catalith.sources import ingest as g
+
+    (tmp_path / "in/Data").mkdir(parents=True)
+    (tmp_path / "in/Data/THGR000200.csv").write_text("KNOTEN_ID,INFOOBJ_ID,SECURITY\n")
+    g.ingest(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    stored = Catalog(spark, f"file://{tmp_path}/out")
+    assert stored.partition("node_document", 200).count() == 0 and stored.partition("node_document", 300) is None
+
+
+def test_append_new_by_uri(spark, tmp_path):
+    from catalith.sources import ingest as g
+
+    rows = spark.createDataFrame([("A", "", "", b"x"), ("B", "", "", b"y")], "id string, path string, content_type string, data binary")
+    for _ in range(2):
+        g.append_new(rows, f"file://{tmp_path}/blobs")
+    assert spark.read.parquet(f"file://{tmp_path}/blobs").count() == 2
+
+
+def test_ranges_that_span_bins(spark):
+    ranges = spark.createDataFrame([(1, 0, 60_000_000, 9, 1), (1, 4095, 4096, 3, 2), (2, 5, 4, 1, 1)], "area long, serial_from long, serial_to long, type_id long, produced int")
+    asked = spark.createDataFrame([(k, 1, s) for k, s in enumerate((0, 4094, 4095, 4096, 4097, 60_000_000, 60_000_001))] + [(50, 2, 5)], "vin int, area long, serial long")
+    assert {r["vin"]: r["type_id"] for r in vehicle.chassis_types(asked, ranges, ["vin"]).collect()} == {0: 9, 1: 9, 2: 3, 3: 3, 4: 9, 5: 9}
