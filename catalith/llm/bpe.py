@@ -8,10 +8,12 @@ Pair test: when the encodings of A and B stand next to each other, the boundary
 edge and some token on B's left edge, both standing at the same moment, merge before either merges inwards. The edges
 rise with the merge ranks, so one walk up both of them decides.
 
-A tokenizer file of the tokenizers library is read (byte-level BPE, no normaliser); its path is a parameter. Each
+A tokenizer file of the tokenizers library is read (byte-level BPE without normaliser, prefix space, dropout or flags of added tokens; any
+other raises ValueError); its path is a parameter. Each
 worker keeps the encodings of at most `CACHE` words, refilled when full.
 
-Defined cases. Null text counts as empty: no ids, and the hashes of the empty text. The strings of special tokens in a
+Defined cases. Null text counts as empty: no ids, and the hashes of the empty text. Repeated rows are encoded each, null ids too; columns
+besides doc_id and text are not read; an empty table gives no rows. The strings of special tokens in a
 text become those tokens, as in the library. Decoding replaces invalid UTF-8, which encoded texts never hold.
 """
 
@@ -50,10 +52,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+def checked(spec: dict) -> dict:
+    """The tokenizer, if it is of the one kind that is encoded here; else ValueError, rather than other ids in silence."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    off = [("normalizer", spec.get("normalizer")), *((k, model.get(k)) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")), ("add_prefix_space", cut.get("add_prefix_space"))]
+    off += [(k, any(t.get(k) for t in spec["added_tokens"])) for k in ("single_word", "lstrip", "rstrip", "normalized")]
+    wrong = [name for name, on in off if on]
+    if wrong or model["type"] != "BPE" or cut.get("type") != "ByteLevel" or not cut.get("use_regex", True):
+        raise ValueError(f"not a plain byte-level BPE tokenizer: {wrong or [model['type'], cut]}")
+    return spec
+
+
 class Codec:
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, text: str) -> None:
+        """From the text of a tokenizer file."""
+        spec = checked(json.loads(text))
         model = spec["model"]
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         raw = {t: bytes(byte_of[c] for c in t) for t in model["vocab"]}
@@ -153,16 +166,22 @@ class Codec:
 
 
 @lru_cache(2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(text: str) -> Codec:
+    return Codec(text)
+
+
+def read_file(path: str | None = None) -> str:
+    """The text of a tokenizer file, read by the driver; workers get it sent (a few MB, whatever the corpus)."""
+    with open(path or default_path(), encoding="utf-8") as f:
+        return f.read()
 
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text."""
-    path = path or default_path()
+    shared = docs.sparkSession.sparkContext.broadcast(read_file(path))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(path)
+        c = codec(shared.value)
         n, ids, texts = [], [], []
         for x in batch["text"]:
             pieces = c.pieces(x.as_py() or "")
@@ -178,10 +197,10 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids, the operator's plain output."""
-    path = path or default_path()
+    shared = docs.sparkSession.sparkContext.broadcast(read_file(path))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [codec(path).encode(x.as_py() or "") for x in batch["text"]]
+        ids = [codec(shared.value).encode(x.as_py() or "") for x in batch["text"]]
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids array<int>")

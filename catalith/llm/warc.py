@@ -1,7 +1,7 @@
 """Operator 9: WARC archives compressed with Zstandard, written and read back.
 
-An archive begins with a skippable frame (magic 0x184D2A5D) that holds a dictionary trained on its first records;
-every record is one frame, compressed with that dictionary. The reader loads the dictionary, decodes frame by frame,
+An archive begins with a skippable frame (magic 0x184D2A5D) that holds a dictionary trained on its first records, or their bytes as
+they are where they are too few to train on; every record is one frame, compressed with that dictionary. The reader loads the dictionary, decodes frame by frame,
 and validates version line, mandatory headers, block length, end of record and digests; a damaged archive raises
 ValueError with its name and offset.
 
@@ -106,12 +106,12 @@ def parse_http(headers: dict[str, str], block: bytes) -> tuple[int, bytes | None
     return len(payload), payload
 
 
-def train(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary, or none if the records are too few to train one."""
+def train(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary for records; a few records are one as they are."""
     try:
         return zstandard.train_dictionary(DICT_BYTES, records, level=3)
     except zstandard.ZstdError:
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(records)[:DICT_BYTES])
 
 
 class ArchiveWriter:
@@ -132,17 +132,16 @@ class ArchiveWriter:
             self.sink.write(self.compressor.compress(record))
 
     def _begin(self) -> None:
-        d = train(self.waiting) if len(self.waiting) >= 8 else None
-        if d is not None:
-            content = d.as_bytes()
-            self.sink.write(DICT_MAGIC.to_bytes(4, "little") + len(content).to_bytes(4, "little") + content)
+        d = train(self.waiting)
+        content = d.as_bytes()
+        self.sink.write(DICT_MAGIC.to_bytes(4, "little") + len(content).to_bytes(4, "little") + content)
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=True)
         for record in self.waiting:
             self.sink.write(self.compressor.compress(record))
         self.waiting = []
 
     def close(self) -> None:
-        if self.compressor is None:
+        if self.compressor is None and self.waiting:
             self._begin()
         self.sink.close()
 

@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import json
 import math
 import random
 import re
@@ -21,7 +22,7 @@ from tests.llm.helpers import awkward, empty, prose
 
 @pytest.fixture(scope="module")
 def library():
-    return Tokenizer.from_file(bpe.default_path()), bpe.Codec(bpe.default_path())
+    return Tokenizer.from_file(bpe.default_path()), bpe.Codec(bpe.read_file())
 
 
 def test_bpe_like_the_library(library):
@@ -35,6 +36,12 @@ def test_bpe_like_the_library(library):
         assert own.decode(want.ids) == lib.decode(want.ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}, {"added_tokens": [{"id": 1, "content": "x", "lstrip": True}]}])
+def test_other_tokenizers_are_refused(change):
+    with pytest.raises(ValueError):
+        bpe.checked({**json.loads(bpe.read_file()), **change})
+
+
 def test_bpe_small_cache(library, monkeypatch):
     lib, own = library
     monkeypatch.setattr(bpe, "CACHE", 3)

@@ -42,6 +42,13 @@ def test_payloads_come_back(spark):
     assert warc.read_archives(spark, folder).count() == 12
 
 
+def test_pages_with_clashing_columns(spark, tmp_path):
+    """Other columns are not read, whatever their names."""
+    rows = pages(spark).selectExpr("*", "'x' as digest", "1 as first", "2 as n", "'y' as record_type", "3 as payload")
+    save(rows, tmp_path, "pages")
+    assert warc.op9_warc(spark, str(tmp_path)).count() == rows.count()
+
+
 def test_no_pages(spark, tmp_path):
     save(pages(spark).where("false"), tmp_path, "pages")
     assert warc.op9_warc(spark, str(tmp_path)).count() == 0
@@ -69,8 +76,11 @@ def test_archives_have_a_dictionary_and_a_frame_per_record():
     assert [x for _, x in frames] == made and len({at for at, _ in frames}) == 300
     for at, _ in frames[:5]:
         assert data[at : at + 4] == warc.ZSTD_MAGIC
-    plain = archive(made[:3])
-    assert plain[:4] == warc.ZSTD_MAGIC and [x for _, x in warc.read_frames(plain)] == made[:3]
+    for few in (1, 3, 7):
+        small = archive(made[:few])
+        assert int.from_bytes(small[:4], "little") == warc.DICT_MAGIC and [x for _, x in warc.read_frames(small)] == made[:few]
+    frames_alone = b"".join(zstandard.ZstdCompressor().compress(r) for r in made[:3])
+    assert [x for _, x in warc.read_frames(frames_alone)] == made[:3]
     size = int.from_bytes(data[4:8], "little")
     packed = zstandard.ZstdCompressor().compress(data[8 : 8 + size])
     again = data[:4] + len(packed).to_bytes(4, "little") + packed + data[8 + size :]
