@@ -107,7 +107,7 @@ def test_similar_texts(spark):
         rows.append((2 * k + 1, " ".join(words)))
     got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), profile=simhash.SIMILAR).collect()
     by_id = {r["doc_id"]: r["component_id"] for r in got}
-    assert sum(by_id[2 * k + 1] == 2 * k for k in range(60)) >= 58
+    assert all(by_id[2 * k + 1] == 2 * k for k in range(60))  # five changed words leave at least 271 of 321 shingles
     assert all(by_id[2 * k] == 2 * k for k in range(60))
     assert sum(r["kept"] for r in got) == len(set(by_id.values()))
 
